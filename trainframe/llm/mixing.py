@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return s.select("source", "source_size", F.when(F.col("fixed").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("fixed.level") * F.col("weight"))).alias("target"))
 
 
-def budgets(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def budgets(rows: DataFrame, plan: DataFrame, group: str = "") -> DataFrame:
     """(source, h, size) and (source, source_size, target) -> source, base (whole copies), threshold (of the extra copy).
 
     The extra copy goes to the hashes up to the one after which the words lie nearest to the target, the fewer at a tie.
