@@ -8,8 +8,10 @@ position inside. A sampled position stands for the run of windows that chose it.
   2. the whole run: the pair (rank at K, hash of all bytes that the run's windows cover) is the next rank. Of equal runs
      only the first goes on; all windows of the others start earlier too. A run whose class at K has no other next rank
      is unique but for its copies and ends.
-  3. offset ``length``: what is left are runs that share K bytes and differ near by, at the edges of repeated passages.
-     Their windows are ranked one by one by all their bytes; all but the first of a class start earlier too.
+  3. offsets half way to ``length`` on either side: a window reaches half of ``length - K`` bytes beyond the K bytes to the
+     left or to the right. A run that shares neither its left nor its right half with another run of its class ends.
+  4. offset ``length``: what is left are runs at the edges of repeated passages. Their windows are ranked one by one by
+     all their bytes; all but the first of a class start earlier too.
 
 Rows of one rank need not meet in one task: a task first drops all but the first of equal runs among its own rows.
 """
@@ -49,15 +51,35 @@ def rank_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, rank at K) of each run of windows that chose the same position.
+def halves(h: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits each of the hashes of the bytes left and right of the K bytes at ``at``, half way to ``length``.
+
+    A run whose windows do not reach that far on a side gets bits of its own there: it can share no window on that side.
+    """
+    left = (length - K) // 2
+    right = length - K - left
+    out = []
+    for offsets, there in (
+        (range(-left, 0, K), at - left >= first),
+        (range(right, 0, -K), at + K + right <= first + count + length - 1),
+    ):
+        own = _mix((at.astype(np.uint64) << np.uint64(20)) ^ first.astype(np.uint64) ^ h[at])
+        got = np.zeros(len(at), np.uint64)
+        for k in offsets:
+            got = _mix(got + h[np.clip(at + k, 0, len(h) - 1)])
+        out.append(np.where(there, got, own) >> np.uint64(32))
+    return (out[0] << np.uint64(32)) | out[1]
+
+
+def runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, place chosen, hashes) of each run of windows that chose the same position.
 
     The key that windows are compared by is 40 bits of the hash, then the place, the later first; a choice depends on
     nothing but the window's bytes.
     """
     n = len(raw) - length + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     h = rank_hashes(raw)
     place = np.arange(len(h), dtype=np.uint64)
     low = (h & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - place)
@@ -69,7 +91,7 @@ def runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
     chosen = np.uint64(0xFFFFFF) - (low & np.uint64(0xFFFFFF))
     begin = np.concatenate([[0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1])
-    return begin, np.diff(np.concatenate([begin, [n]])), h[chosen[begin].astype(np.int64)]
+    return begin, np.diff(np.concatenate([begin, [n]])), chosen[begin].astype(np.int64), h
 
 
 def segments(raw: np.ndarray, at: np.ndarray, length: int):
@@ -80,28 +102,30 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int):
 
 
 def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
-    """Runs of many rows at once: (row, first window in its row, number of windows, rank at K, next rank)."""
-    rows, firsts, counts, ranks, nexts = [], [], [], [], []
+    """Runs of many rows: (row, first window in its row, number of windows, rank at K, next rank, halves)."""
+    rows, firsts, counts, ranks, nexts, sides = [], [], [], [], [], []
     digest = xxhash.xxh3_64_intdigest
 
-    def add(piece, begin, count, rank, row, offset):
+    def add(piece, begin, count, place, h, row, offset):
         data = memoryview(np.ascontiguousarray(piece))
         nexts.append(np.fromiter((digest(data[a:b]) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)), np.uint64, len(begin)))
         rows.append(row)
         firsts.append(offset)
         counts.append(count)
-        ranks.append(rank)
+        ranks.append(h[place])
+        sides.append(halves(h, begin, count, place, length))
 
     for i, j in common.parts(at, SEGMENT):
         a, b = int(at[i]), int(at[j])
         if b - a > 2 * SEGMENT:
             for _, offset, piece in segments(raw[a:b], np.array([0, b - a]), length):
-                begin, count, rank = runs(piece, length)
-                add(piece, begin, count, rank, np.full(len(begin), i), begin + offset)
+                begin, count, place, h = runs(piece, length)
+                if len(begin):
+                    add(piece, begin, count, place, h, np.full(len(begin), i), begin + offset)
             continue
         # all rows of the part as one text: windows over the end of a row are cut off their runs
         piece = raw[a:b]
-        begin, count, rank = runs(piece, length)
+        begin, count, place, h = runs(piece, length)
         if not len(begin):
             continue
         ends = at[i + 1 : j + 1] - a
@@ -116,28 +140,37 @@ def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
             while r < len(ends) and (start := int(ends[r - 1])) < s:
                 end = min(s, int(ends[r]) - length + 1)
                 if end > start:
-                    extra.append((start, end - start, int(rank[x]), r))
+                    extra.append((start, end - start, int(place[x]), r))
                 r += 1
         count = np.minimum(stop, last + 1) - begin
         good = count > 0
-        begin, count, rank, row = begin[good], count[good], rank[good], row[good]
+        begin, count, place, row = begin[good], count[good], place[good], row[good]
         if extra:
             e = list(zip(*extra, strict=True))
             begin, count, row = np.append(begin, e[0]), np.append(count, e[1]), np.append(row, e[3])
-            rank = np.append(rank, np.array(e[2], np.uint64))
+            place = np.append(place, e[2])
         starts = np.concatenate([[0], ends[:-1]])
-        add(piece, begin, count, rank, row + i, begin - starts[row])
+        add(piece, begin, count, place, h, row + i, begin - starts[row])
     if not rows:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    return tuple(np.concatenate(x) for x in (rows, firsts, counts, ranks, nexts))
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+    return tuple(np.concatenate(x) for x in (rows, firsts, counts, ranks, nexts, sides))
+
 
+RUN = "rank long, next long, sides long, row long, first long, count int"
+HEADS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("rank", pa.int64()), ("sides", pa.int64())])
 
-RUN = "rank long, next long, row long, first long, count int"
-SPANS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("window", pa.bool_())])
 
+def _spans(row, first, end, rank=None, sides=None) -> pa.RecordBatch:
+    none = pa.nulls(len(row), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), none if rank is None else pa.array(rank, pa.int64()), none if sides is None else pa.array(sides, pa.int64())], schema=HEADS)
 
-def _spans(row, first, end, window=False) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(np.full(len(row), window))], schema=SPANS)
+
+def _again(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, whether a row's keys are those of the row before."""
+    same = np.ones(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        same &= k[1:] == k[:-1]
+    return np.concatenate([[False], same]) if len(keys[0]) else np.empty(0, bool)
 
 
 def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
@@ -148,93 +181,111 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
     if length < K:
         raise ValueError(f"length is at least {K}")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "row long, first long, end long, window boolean"
 
     def sample(batches):
         for batch in batches:
             raw, at = common.text_bytes(batch.column(1))
-            row, first, count, rank, nxt = _runs_of(raw, at, length)
+            row, first, count, rank, nxt, sides = _runs_of(raw, at, length)
             if not len(row):
                 continue
             row = batch.column(0).to_numpy(zero_copy_only=False)[row]
             # equal runs among these rows: all but the first are known to be repeats (count is negative)
             o = np.lexsort((first, row, nxt, rank))
-            row, first, count, rank, nxt = row[o], first[o], count[o], rank[o], nxt[o]
-            again = np.concatenate([[False], (rank[1:] == rank[:-1]) & (nxt[1:] == nxt[:-1]) & (count[1:] == count[:-1])])
-            count = np.where(again, -count, count)
+            row, first, count, rank, nxt, sides = row[o], first[o], count[o], rank[o], nxt[o], sides[o]
+            count = np.where(_again(rank, nxt, count), -count, count)
             for i in range(0, len(row), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(rank[s].view(np.int64)), pa.array(nxt[s].view(np.int64)), pa.array(row[s]), pa.array(first[s]), pa.array(count[s].astype(np.int32))], ["rank", "next", "row", "first", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(rank[s].view(np.int64)), pa.array(nxt[s].view(np.int64)), pa.array(sides[s].view(np.int64)), pa.array(row[s]), pa.array(first[s]), pa.array(count[s].astype(np.int32))], ["rank", "next", "sides", "row", "first", "count"])
 
     found = texts.mapInArrow(sample, RUN)
-    # repeats keep their row's place by a key of their own, so a hot rank brings each task only a row per batch of texts
+    # repeats are dealt out by a key of their own, so a hot rank brings its task only a row per batch of texts
     key = F.when(F.col("count") < 0, F.xxhash64("row", "first")).otherwise(F.col("rank"))
     dealt = found.repartition(n, key).sortWithinPartitions("rank", "next", "row", "first")
 
     def rerank(batches):
         """Rows in order of rank, next rank and place: spans of all but the first, and of firsts that have neighbours."""
         last_rank = last_next = last_count = None
-        pending: tuple | None = None  # the first row of a rank that has had no other next rank
+        pending: list | None = None  # the first row of a rank that has had no other next rank
         for batch in batches:
-            rank, nxt, row, first, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            if not len(rank):
-                continue
+            rank, nxt, sides, row, first, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             known = count < 0
             if known.any():
                 yield _spans(row[known], first[known], first[known] - count[known] + length - 1)
-                rank, nxt, row, first, count = (x[~known] for x in (rank, nxt, row, first, count))
-                if not len(rank):
-                    continue
+                rank, nxt, sides, row, first, count = (x[~known] for x in (rank, nxt, sides, row, first, count))
+            if not len(rank):
+                continue
             same_rank = np.concatenate([[last_rank is not None and rank[0] == last_rank], rank[1:] == rank[:-1]])
             same = same_rank & np.concatenate([[nxt[0] == last_next and count[0] == last_count], (nxt[1:] == nxt[:-1]) & (count[1:] == count[:-1])])
             if same.any():
                 yield _spans(row[same], first[same], first[same] + count[same] + length - 1)
-            # heads: first rows of a next rank; those that share their rank with another head go to the last round
+            # heads: first rows of a next rank; those that share their rank with another head go on
             head = np.flatnonzero(~same)
             if len(head):
                 joined = same_rank[head].copy()
                 if joined[0] and pending is not None:
-                    yield _spans(np.array([pending[0]]), np.array([pending[1]]), np.array([pending[1] + pending[2]]), True)
-                    pending = None
+                    yield _spans(*([x] for x in pending))
                 shared = joined.copy()
                 shared[:-1] |= joined[1:]
-                pending = None if shared[-1] else (int(row[head[-1]]), int(first[head[-1]]), int(count[head[-1]]))
+                end = head[-1]
+                pending = None if shared[-1] else [int(x) for x in (row[end], first[end], first[end] + count[end], rank[end], sides[end])]
                 go = head[shared]
                 if len(go):
-                    yield _spans(row[go], first[go], first[go] + count[go], True)
+                    yield _spans(row[go], first[go], first[go] + count[go], rank[go], sides[go])
             last_rank, last_next, last_count = rank[-1], nxt[-1], count[-1]
 
-    got = common.materialize(dealt.mapInArrow(rerank, schema), "runs", group)
-    # the last round needs the bytes of the windows that are left
-    edges = got.where("window").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("windows"))
+    got = common.materialize(dealt.mapInArrow(rerank, "row long, first long, end long, rank long, sides long"), "runs", group)
+    # half way: each run under both of its halves; a half that only one run of the class has ends there
+    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")))).alias("h")
+    sided = got.where("rank is not null").select("row", "first", "end", "rank", half).select("row", "first", "end", "rank", "h.side", "h.half")
+    shared = sided.groupBy("rank", "side", "half").count().where("count > 1").drop("count")
+    left = sided.join(shared, ["rank", "side", "half"], "left_semi").groupBy("row", "first", "end").agg(F.lit(1).alias("x"))
+    left = left.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("windows"))
+    left = common.materialize(left, "edges", group)
+
+    def _batch(digests: list[bytes], rows: list[int], firsts: list[int]) -> pa.RecordBatch:
+        k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        row, first = np.array(rows, np.int64), np.array(firsts, np.int64)
+        o = np.lexsort((first, row, k[:, 1], k[:, 0]))
+        k1, k2, row, first = k[o, 0], k[o, 1], row[o], first[o]
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(row), pa.array(np.where(_again(k1, k2), -1 - first, first))], ["k1", "k2", "row", "first"])
 
     def windows(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            keys, rows, firsts, most = [], [], [], 0
+            digests, rows, firsts = [], [], []
             for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = memoryview(text.as_buffer())
                 for s in spans:
-                    keys += [digest(data[a : a + length]) for a in range(s["first"], s["end"])]
+                    digests += [digest(data[a : a + length]) for a in range(s["first"], s["end"])]
                     rows += [row] * (s["end"] - s["first"])
                     firsts += range(s["first"], s["end"])
-                if len(keys) > 200_000:
-                    yield _batch(keys, rows, firsts)
-                    keys, rows, firsts = [], [], []
-            if keys:
-                yield _batch(keys, rows, firsts)
-
-    def _batch(keys, rows, firsts):
-        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(rows, pa.int64()), pa.array(firsts, pa.int64())], ["k1", "k2", "row", "first"])
-
-    left = texts.withColumn("text", F.col("text").cast("binary")).join(edges, "row").select("row", "text", "windows")
-    ranked = common.materialize(left.mapInArrow(windows, "k1 long, k2 long, row long, first long"), "windows", group)
-    # the least place of each class is an aggregate; classes of one are dropped before the join
-    place = F.struct("row", "first")
-    firsts = ranked.groupBy("k1", "k2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = ranked.join(firsts, ["k1", "k2"]).where(place != F.col("least")).select("row", "first", (F.col("first") + length).alias("end"))
-    return got.where("not window").select("row", "first", "end").union(again)
+                if len(digests) > 200_000:
+                    yield _batch(digests, rows, firsts)
+                    digests, rows, firsts = [], [], []
+            if digests:
+                yield _batch(digests, rows, firsts)
+
+    def last_rank(batches):
+        """Windows in order of their bytes' digest and place: spans of all but the first."""
+        before = None
+        for batch in batches:
+            k1, k2, row, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            known = first < 0
+            if known.any():
+                yield _spans(row[known], -1 - first[known], -1 - first[known] + length).select(["row", "first", "end"])
+                k1, k2, row, first = (x[~known] for x in (k1, k2, row, first))
+            if not len(k1):
+                continue
+            same = _again(k1, k2)
+            same[0] = before == (k1[0], k2[0])
+            before = (k1[-1], k2[-1])
+            yield _spans(row[same], first[same], first[same] + length).select(["row", "first", "end"])
+
+    bytes_of = texts.withColumn("text", F.col("text").cast("binary")).join(left, "row").select("row", "text", "windows")
+    ranked = bytes_of.mapInArrow(windows, "k1 long, k2 long, row long, first long")
+    key = F.when(F.col("first") < 0, F.xxhash64("row", "first")).otherwise(F.xxhash64("k1", "k2"))
+    again = ranked.repartition(n, key).sortWithinPartitions("k1", "k2", "row", "first").mapInArrow(last_rank, "row long, first long, end long")
+    return got.where("rank is null").select("row", "first", "end").union(again)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
