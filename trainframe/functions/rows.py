@@ -56,30 +56,34 @@ def _calls(e: Column, t: T.StructType) -> Column:
     return none
 
 
+def _turns_of(schema: T.StructType, name: str, role: str, text: str) -> Column | None:
+    """The turns in the list ``name`` whose items hold ``role`` and ``text``; None if there is no such list."""
+    if name not in schema.names or not isinstance(schema[name].dataType, T.ArrayType):
+        return None
+    t = schema[name].dataType.elementType
+    if not isinstance(t, T.StructType) or role not in t.names:
+        return None
+
+    def turn(e: Column) -> Column:
+        body = _content(*_field(e, t, text)) if text in t.names else F.lit("")
+        why = _field(e, t, "reasoning_content", "reasoning")
+        who = F.coalesce(e.getField(role), F.lit(""))
+        calls = _calls(e, t)
+        if role == "from":
+            called = F.coalesce(F.get_json_object(body, "$.name"), F.lit("?"))
+            args = F.coalesce(F.get_json_object(body, "$.arguments"), F.lit(""))
+            calls = F.when(who == "function_call", F.array(F.struct(called.alias("name"), args.alias("arguments")))).otherwise(calls)
+            body = F.when(who == "function_call", "").otherwise(body)
+        call_id = _field(e, t, "tool_call_id")
+        return F.struct(who.alias("role"), body.alias("content"), F.coalesce(why[0].cast("string") if why else F.lit(""), F.lit("")).alias("reasoning"), calls.alias("calls"), (call_id[0] if call_id else F.lit(None).cast("string")).alias("call_id"))
+
+    return F.when(F.col(name).isNotNull(), F.transform(F.col(name), turn))
+
+
 def turns_array(schema: T.StructType) -> Column | None:
     """The row's turns as an array of ``TURN``; None if rows of this schema hold no conversation."""
-    options = []
-    for name, role, text in (("messages", "role", "content"), ("conversations", "from", "value")):
-        if name not in schema.names or not isinstance(schema[name].dataType, T.ArrayType):
-            continue
-        t = schema[name].dataType.elementType
-        if not isinstance(t, T.StructType) or role not in t.names:
-            continue
-
-        def turn(e: Column, t=t, role=role, text=text) -> Column:
-            body = _content(*_field(e, t, text)) if text in t.names else F.lit("")
-            why = _field(e, t, "reasoning_content", "reasoning")
-            who = F.coalesce(e.getField(role), F.lit(""))
-            calls = _calls(e, t)
-            if role == "from":
-                name = F.coalesce(F.get_json_object(body, "$.name"), F.lit("?"))
-                args = F.coalesce(F.get_json_object(body, "$.arguments"), F.lit(""))
-                calls = F.when(who == "function_call", F.array(F.struct(name.alias("name"), args.alias("arguments")))).otherwise(calls)
-                body = F.when(who == "function_call", "").otherwise(body)
-            call_id = _field(e, t, "tool_call_id")
-            return F.struct(who.alias("role"), body.alias("content"), F.coalesce(why[0].cast("string") if why else F.lit(""), F.lit("")).alias("reasoning"), calls.alias("calls"), (call_id[0] if call_id else F.lit(None).cast("string")).alias("call_id"))
-
-        options.append(F.when(F.col(name).isNotNull(), F.transform(F.col(name), turn)))
+    options = [_turns_of(schema, *names) for names in (("messages", "role", "content"), ("conversations", "from", "value"))]
+    options = [c for c in options if c is not None]
     return F.coalesce(*options) if options else None
 
 

@@ -77,14 +77,8 @@ class Schema:
             if not star:
                 out += [F.array(e) for e in field.errors(c, t, F.lit(path))]
             elif isinstance(t, T.ArrayType):
-
-                def item(e: Column, i: Column, field=field, t=t, head=head, rest=rest) -> Column:
-                    v, vt = _below(e, t.elementType, rest.lstrip("."))
-                    where = F.concat(F.lit(head + "["), i.cast("string"), F.lit("]" + rest))
-                    found = field.errors(v, vt, where)
-                    return F.array(*found) if found else none
-
-                out.append(F.coalesce(F.flatten(F.transform(c, item)), none))
+                found = F.transform(c, _item_errors(head, rest, field, t.elementType))
+                out.append(F.coalesce(F.flatten(found), none))
             elif t is not None:
                 out.append(F.array(F.when(c.isNotNull(), F.struct(F.lit(head).alias("path"), F.lit("is not a list").alias("message")))))
         if self.extra:
@@ -92,6 +86,18 @@ class Schema:
         return F.array_compact(F.concat(*(a.cast(f"array<{ERROR}>") for a in out)))
 
 
+def _item_errors(head: str, rest: str, field: Field, item: T.DataType) -> Callable[[Column, Column], Column]:
+    """A function of a list's item and its position: the errors of what is at ``rest`` in it."""
+
+    def errors(e: Column, i: Column) -> Column:
+        v, vt = _below(e, item, rest.lstrip("."))
+        where = F.concat(F.lit(head + "["), i.cast("string"), F.lit("]" + rest))
+        found = field.errors(v, vt, where)
+        return F.array(*found) if found else F.array().cast(f"array<{ERROR}>")
+
+    return errors
+
+
 def _below(c: Column, t: T.DataType, path: str) -> tuple[Column, T.DataType | None]:
     for name in path.split(".") if path else []:
         if not isinstance(t, T.StructType) or name not in t.names:

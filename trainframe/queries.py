@@ -118,10 +118,10 @@ def python_map(spark, d):
     return rows.map_python(table(spark, d, "documents").select("doc_id", "text"), capitals, "doc_id long, n int")
 
 
-@query("SELECT conv_id, unnest(string_split(text, ' ')) AS word FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
 def flat_map(spark, d):
-    first = table(spark, d, "conversations").where("turn = 0").select("conv_id", "text")
-    return rows.map_python(first, lambda r: ({"conv_id": r["conv_id"], "word": w} for w in r["text"].split(" ")), "conv_id long, word string", flat=True)
+    said = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return rows.map_python(said, lambda r: ({**r, "word": w} for w in r["text"].split(" ")), "conv_id long, turn long, word string", flat=True)
 
 
 @query("SELECT doc_id, trim(lang) AS language, source, n_chars, 'v1' AS version FROM documents WHERE trim(text, E' \\t\\n\\r') <> '' AND length(trim(text, E' \\t\\n\\r')) BETWEEN 100 AND 5000")
@@ -166,7 +166,7 @@ def full_text(spark, d):
 
 # joins
 
-@query("SELECT c_custkey, c_name, c_nationkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 1 = 0")
+@query("SELECT c_custkey, c_name, c_nationkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def join_left(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     return joins.join_rows(c, table(spark, d, "nation"), left_on="x.c_nationkey", right_on="x.n_nationkey", order=["n_nationkey"]).drop("n_nationkey")
@@ -190,11 +190,12 @@ def join_duplicates(spark, d):
     return joins.duplicates(table(spark, d, "orders"), "x.o_custkey")
 
 
-@query("""WITH a AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS k FROM region), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation WHERE n_nationkey < 5)
-SELECT r_regionkey, r_name, n_name FROM a JOIN b USING (k)""")
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS k FROM documents), b AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+SELECT doc_id, lang, n_chars FROM a JOIN b USING (k)""")
 def join_positions(spark, d):
-    few = table(spark, d, "nation").where("n_nationkey < 5").select("n_nationkey", "n_name")
-    return joins.merge_positions(table(spark, d, "region"), few, ["r_regionkey"], ["n_nationkey"]).select("r_regionkey", "r_name", "n_name")
+    x = table(spark, d, "documents")
+    lengths = x.select((-F.col("n_chars")).alias("shorter"), F.col("doc_id").alias("other"), "n_chars")
+    return joins.merge_positions(x.select("doc_id", "lang"), lengths, ["doc_id"], ["shorter", "other"]).select("doc_id", "lang", "n_chars")
 
 
 # groups and profiles
@@ -285,15 +286,14 @@ def overall_metrics(spark, d):
 
 # order
 
-@query("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY lang DESC, n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 50")
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY lang DESC, n_chars DESC, doc_id")
 def sort_rows(spark, d):
-    s = order.sort_rows(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "(x.lang, x.n_chars)", ["doc_id"], desc=True).limit(50)
-    return aggregate.rank_within(s.withColumn("one", F.lit(1)), "one", [F.desc("lang"), F.desc("n_chars"), "doc_id"], "k").drop("one").withColumn("k", F.col("k").cast("long"))
+    return order.sort_rows(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "(x.lang, x.n_chars)", ["doc_id"], desc=True)
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
 def browse_sort(spark, d):
-    return order.browse_sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"]).limit(20)
+    return order.browse_sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"])
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10")
@@ -378,24 +378,24 @@ def concat_rows(spark, d):
     return both.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT DISTINCT quality, toxic FROM labels WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT quality, toxic FROM labels WHERE doc_id % 3 = 0)
+@query("""WITH o AS (SELECT DISTINCT c_nationkey AS k FROM customer), n AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
 SELECT (SELECT count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM o)) AS added, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)) AS removed, (SELECT count(*) FROM (SELECT * FROM o INTERSECT SELECT * FROM n)) AS unchanged""")
 def diff_rows(spark, d):
-    x = table(spark, d, "labels")
-    return sets.diff(x.where("doc_id % 2 = 0").select("quality", "toxic"), x.where("doc_id % 3 = 0").select("quality", "toxic"))
+    old, new = table(spark, d, "customer"), table(spark, d, "supplier")
+    return sets.diff(old.select(F.col("c_nationkey").alias("k")), new.select(F.col("s_nationkey").alias("k")))
 
 
-@query("""WITH o AS (SELECT doc_id, quality AS q FROM labels WHERE doc_id % 5 > 0), n AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS q FROM labels WHERE doc_id % 4 > 0)
+@query("""WITH o AS (SELECT doc_id, quality AS q FROM labels), n AS (SELECT doc_id, (n_chars > 500)::INT AS q FROM documents)
 SELECT coalesce(o.doc_id, n.doc_id) AS key, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.q = n.q THEN 'unchanged' ELSE 'modified' END AS status FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def diff_by_key(spark, d):
-    x = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("q"))
-    old, new = x.where("doc_id % 5 > 0"), x.where("doc_id % 4 > 0").withColumn("q", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("q")).otherwise(F.col("q")))
+    old = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("q"))
+    new = table(spark, d, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").alias("q"))
     return sets.diff_rows(old, new, "doc_id", ["doc_id"], ["doc_id"])
 
 
 # texts
 
-@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages WHERE regexp_matches(html, '(?s)<title>(.*?)</title>')")
+@query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), E' \\t\\n\\r') AS title FROM pages WHERE regexp_matches(html, '(?s)<title>(.*?)</title>')")
 def tag_text(spark, d):
     p = table(spark, d, "pages")
     return p.select("page_id", textfn.tag(F.col("html"), "title").alias("title")).where("title is not null")
@@ -446,7 +446,7 @@ def preset_simple_qa(spark, d):
     return presets.simple_qa(chats(spark, d))
 
 
-@query(PAIRS + "SELECT question AS prompt, answer AS chosen, conv_id::VARCHAR AS rejected FROM p WHERE question <> '' AND answer <> ''")
+@query(PAIRS + "SELECT question AS prompt, answer AS chosen, conv_id::VARCHAR AS rejected FROM p WHERE question <> '' AND answer <> '' AND conv_id <> 0")
 def preset_dpo_pair(spark, d):
     return presets.dpo_pair(pairs(spark, d).withColumnRenamed("question", "ask"), prompt="ask", chosen="answer", rejected="conv_id")
 
@@ -463,7 +463,7 @@ a AS (SELECT t.conv_id, t.turn, q.text AS question, t.text AS answer FROM t JOIN
 l AS (SELECT conv_id, count(*) AS n, arg_max(question, turn) AS question, arg_max(answer, turn) AS answer FROM a GROUP BY conv_id) """
 
 
-@query(FOLD + "SELECT l.question AS instruction, l.answer AS output, coalesce(len(c.m) * 0 + greatest(l.n - 1, 0), 0)::INT AS history FROM c LEFT JOIN l USING (conv_id)")
+@query(FOLD + "SELECT l.question AS instruction, l.answer AS output, coalesce(greatest(l.n - 1, 0), 0)::INT AS history FROM c LEFT JOIN l USING (conv_id)")
 def convert_llama_factory(spark, d):
     return presets.to_llama_factory(chats(spark, d)).select("instruction", "output", F.size("history").alias("history"))
 
@@ -538,6 +538,5 @@ def stream_filter(spark, d):
     from .streaming.operators import drain
 
     src = table(spark, d, "events")
-    stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet*") if not d.startswith("viewfs") else None
-    got = drain(rows.filter_rows(stream, "x.value > 10")) if stream is not None else rows.filter_rows(src, "x.value > 10")
-    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet*")
+    return drain(rows.filter_rows(stream, "x.value > 10")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
