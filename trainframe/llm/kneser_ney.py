@@ -2,7 +2,8 @@
 
 Grams are bytes packed into a long, so all languages share one closed alphabet. Counts are summed within a task, then in
 shards by gram; contexts' totals and lower orders join them by context and by suffix. A document's perplexity is the
-geometric mean of 1 / P over its bytes. Documents over a quantile of their language's trusted documents are rejected.
+geometric mean of 1 / P over its bytes. Documents over a quantile of their language's trusted documents are rejected; the
+quantile is of trusted documents that the model has not seen, as those it has seen look far better than any other.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ ORDER = 5
 MOST_IDS = 1_000_000
 #: Up to so many model entries (16 bytes each) are sent to all executors; larger models are joined in shards.
 MOST_ENTRIES = 4_000_000
-#: Rejected: log-perplexity over this quantile of the language's trusted documents by more than this share.
-QUANTILE, SLACK = 0.99, 0.15
+#: Rejected: log-perplexity over this quantile of the language's held-out trusted documents by more than this share.
+QUANTILE, SLACK = 0.99, 0.1
+#: One in so many trusted texts, by hash, is held out of the model. A language with fewer than ``FEW`` of them has the
+#: threshold of all languages where that is higher.
+HELD_OUT, FEW = 5, 20
 PART = 4 << 20
 
 
@@ -228,21 +232,23 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, most_entries: int = MOST_ENTRIES, group: str = "") -> DataFrame:
     """``docs`` with perplexity, threshold (of its language) and kept; needs doc_id, text and lang.
 
-    The threshold of a language (null is one) is the ``quantile`` of its trusted documents' log-perplexity and ``slack`` of
-    it more; a language without trusted documents has that of all. Rows without text have no perplexity and are not kept.
-    Without trusted text everything with text is kept. Columns of those names are replaced.
+    The threshold of a language (null is one) is the ``quantile`` of its held-out trusted documents' log-perplexity and
+    ``slack`` of it more; a language without such documents has that of all. Rows without text have no perplexity and are
+    not kept. Without trusted text on either side everything with text is kept. Columns of those names are replaced.
     """
     docs = docs.drop("perplexity", "threshold", "kept", "_score")
     trusted = trusted_documents(docs, labels)
-    model = train(trusted, group)
-    if model.isEmpty():
-        null = F.lit(None).cast("double")
-        return docs.select("*", null.alias("perplexity"), null.alias("threshold"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("kept"))
-    known = score(common.columns(trusted, "text", "lang"), model, most_entries, group).where("_score is not null").select("lang", "_score")
+    held_out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    model = train(trusted.where(~held_out), group)
+    known = score(common.columns(trusted.where(held_out), "text", "lang"), model, most_entries, group).where("_score is not null").select("lang", "_score")
     cut = F.percentile_approx("_score", F.lit(quantile), F.lit(10_000)) * (1 + slack)
     known = common.materialize(known, "scores", group)
-    by_lang = known.groupBy("lang").agg(cut.alias("_cut")).select(F.col("lang").alias("_lang"), "_cut")
     whole = known.agg(cut.alias("_cut")).first()[0]
+    if whole is None or model.isEmpty():
+        null = F.lit(None).cast("double")
+        return docs.select("*", null.alias("perplexity"), null.alias("threshold"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("kept"))
+    own = F.when(F.count("*") < FEW, F.greatest(cut, F.lit(whole))).otherwise(cut)
+    by_lang = known.groupBy("lang").agg(own.alias("_cut")).select(F.col("lang").alias("_lang"), "_cut")
     by_lang = common.materialize(by_lang, "cuts", group)
     by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
     out = score(docs, model, most_entries, group).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
