@@ -28,7 +28,8 @@ QUANTILE, SLACK = 0.99, 0.1
 #: One in so many trusted texts, by hash, is held out of the model. A language with fewer than ``FEW`` of them has the
 #: threshold of all languages where that is higher.
 HELD_OUT, FEW = 5, 20
-PART = 4 << 20
+#: Bytes of text that are worked on at a time: arrays of 8 bytes for each, about ten at once.
+PART = 1 << 20
 
 
 def gram_codes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
