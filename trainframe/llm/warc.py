@@ -152,8 +152,14 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, compress: bool = True,
 
 
 def _entry_chain(candidates: DataFrame, files: DataFrame, jumps: int, group: str) -> DataFrame:
-    """(path, x): offset 0 of each file and the exits that the chain from there takes, by pointer jumping."""
-    jump = common.materialize(candidates.select("path", F.col("offset").alias("x"), F.col("leaves").alias("y")), "jump", group)
+    """(path, x): offset 0 of each file and the exits that the chain from there takes, by pointer jumping.
+
+    Only candidates at a file's start or at some range's exit can be entries, about one a range, so few rows jump.
+    """
+    candidates = common.materialize(candidates, "candidates", group)
+    doors = candidates.select("path", F.col("leaves").alias("offset")).union(files.select("path", F.lit(0).cast("long"))).distinct()
+    jump = candidates.join(doors, ["path", "offset"], "left_semi").select("path", F.col("offset").alias("x"), F.col("leaves").alias("y"))
+    jump = common.materialize(jump, "jump", group)
     reached = files.select("path", F.lit(0).cast("long").alias("x"))
     for k in range(jumps):
         reached = common.materialize(reached.union(reached.join(jump, ["path", "x"]).select("path", F.col("y").alias("x"))).distinct(), "reached", group)
