@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, group: str =
         wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         for batch in batches:
             _, offsets = common.text_bytes(batch.column(1))
-            for i, j in common.parts(offsets, 4 << 20):
+            for i, j in common.parts(offsets, 1 << 20):
                 out: list[tuple] = []
                 for doc, got in zip(batch.column(0)[i:j].to_pylist(), enc.encode_batch([t or "" for t in batch.column(1)[i:j].to_pylist()]), strict=True):
                     ids = np.append(np.frombuffer(got, "<u4"), np.uint32(end_id))

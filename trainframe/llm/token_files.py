@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, kind: str =
             w = Writer(out, kind, chunk)
             for batch in batches:
                 _, at = common.text_bytes(batch.column(1))
-                for i, j in common.parts(at, 4 << 20):
+                for i, j in common.parts(at, 1 << 20):
                     ids = batch.column(0)[i:j].to_pylist()
                     for doc, got in zip(ids, encode([t or "" for t in batch.column(1)[i:j].to_pylist()]), strict=True):
                         w.add(doc, np.frombuffer(got + end, "<u4"))

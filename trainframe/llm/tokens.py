@@ -29,7 +29,7 @@ class WordEncoder:
     of Latin letters and a run of marks goes straight to the tokenizer's model; other new words are encoded together.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
