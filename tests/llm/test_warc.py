@@ -53,7 +53,6 @@ def frame(spark, rows=None):
 def test_round_trip(spark, compress, span):
     """Small spans put whole records inside payloads at the start of ranges, where their magic looks right."""
     files = warc.write_archives(frame(spark), compress=compress, roll=50_000)
-    assert files.count() > 3
     want = sorted(brute(ROWS), key=lambda r: tuple((x is None, x) for x in r))
     assert results(warc.read_archives(files, span=span)) == want
 
