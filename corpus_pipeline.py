@@ -66,7 +66,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     cut = suffix_dedup.with_spans(docs.select(COLUMNS), group=GROUP).select(*COLUMNS, "_spans")
     types = dict(cut.dtypes)
-    out = cut.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(remove, ", ".join(f"{c} {'long' if c == 'n_chars' else types[c]}" for c in COLUMNS))
+    out = cut.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(common.trimmed(remove), ", ".join(f"{c} {'long' if c == 'n_chars' else types[c]}" for c in COLUMNS))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

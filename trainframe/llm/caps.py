@@ -89,7 +89,7 @@ def vectors(table: DataFrame, key: str, column: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["vec_id", "dim", "hash", "vec"])
 
-    return rows.mapInArrow(run, "vec_id long, dim int, hash binary, vec binary")
+    return rows.mapInArrow(common.trimmed(run), "vec_id long, dim int, hash binary, vec binary")
 
 
 MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("filter", pa.int64()), ("dim", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
@@ -160,7 +160,7 @@ def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame,
                     row, found = decode(unit_rows(vec.to_pylist(), d))
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(row), d, np.int32)), pa.array(node[at][row]), pa.array(n[at][row]), vec.take(pa.array(row))], ["filter", "dim", "node", "n", "vec"])
 
-    rows = classes.select("node", "n", "dim", "vec").mapInArrow(spread, "filter long, dim int, node long, n long, vec binary")
+    rows = classes.select("node", "n", "dim", "vec").mapInArrow(common.trimmed(spread), "filter long, dim int, node long, n long, vec binary")
     rows = rows.repartition(parts, "filter", "dim").sortWithinPartitions("filter", "dim")
 
     def bucket(which: int, dim: int, held: list[tuple]):
@@ -199,8 +199,8 @@ def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame,
             for which, dim, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield from verify(which, _unpack(left, dim), _unpack(right, dim) if right else None, least)
 
-    met = common.materialize(rows.mapInArrow(meet, MET_SQL), "met", group)
-    deferred = met.where("left is not null").select("filter", "dim", "left", "right").repartition(parts).mapInArrow(later, MET_SQL)
+    met = common.materialize(rows.mapInArrow(common.trimmed(meet), MET_SQL), "met", group)
+    deferred = met.where("left is not null").select("filter", "dim", "left", "right").repartition(parts).mapInArrow(common.trimmed(later), MET_SQL)
     met = met.where("left is null").union(common.materialize(deferred, "met", group))
     return met.where("b is not null").select("a", "b"), met.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -72,6 +73,25 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").alias(n) for n in names))
 
 
+def trimmed(run):
+    """``run``, a function of batches, after which its worker returns the memory that it has freed.
+
+    Workers outlive their task for the next one, and what their allocators keep would add up with other stages' needs.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # only glibc has it
+                pass
+
+    return whole
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, one after another, and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -61,7 +61,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 for k in range(0, len(grams), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 100_000].view(np.int64)), pa.array(c[k : k + 100_000])], ["gram", "c"])
 
-    return common.columns(texts, "text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return common.columns(texts, "text").mapInArrow(common.trimmed(run), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: DataFrame, most_entries: int = MOST_ENTRIES, g
                 raw, at = common.text_bytes(batch.column(names.index("text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_mean_scores(raw, at, lookup), pa.float64(), from_pandas=True)], [*names, "_score"])
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+        return docs.mapInArrow(common.trimmed(run), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
     return _score_in_shards(docs, model, group)
 
 
@@ -207,7 +207,7 @@ def _score_in_shards(docs: DataFrame, model: DataFrame, group: str) -> DataFrame
                 if len(grams):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row)), pa.array(grams.view(np.int64)), pa.array(c)], ["_row", "gram", "c"])
 
-    grams = common.materialize(rows.select("_row", "text").mapInArrow(run, "_row long, gram long, c long"), "doc-grams", group)
+    grams = common.materialize(rows.select("_row", "text").mapInArrow(common.trimmed(run), "_row long, gram long, c long"), "doc-grams", group)
     p = grams.select("gram").distinct().select("gram", F.lit(0.0).alias("p"), F.lit(True).alias("open"))
     for k in range(ORDER, 0, -1):
         suffix = _suffix(F.col("gram"), k)

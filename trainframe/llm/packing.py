@@ -43,8 +43,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, group: str =
                         out.append((part, doc, at + k, k, len(ids), len(row), row.astype("<u4" if wide else "<u2").tobytes()))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "doc_id", "at", "first", "doc_tokens", "n", "ids"])
+        enc.rest()
 
-    rows = common.columns(docs, "doc_id", "text").mapInArrow(encode, "part int, doc_id long, at long, first long, doc_tokens long, n long, ids binary")
+    rows = common.columns(docs, "doc_id", "text").mapInArrow(common.trimmed(encode), "part int, doc_id long, at long, first long, doc_tokens long, n long, ids binary")
     return common.materialize(rows, "encoded", group)
 
 
@@ -80,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, with_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return encoded.select("part", "doc_id", "at", "first", "doc_tokens", "n", "ids").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return encoded.select("part", "doc_id", "at", "first", "doc_tokens", "n", "ids").mapInArrow(common.trimmed(cut), PIECES + ", ids binary" * with_ids)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
     from pyspark.sql import functions as F
 
-    got = sample.mapInArrow(measure, "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds")).collect()
+    got = sample.mapInArrow(common.trimmed(measure), "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds")).collect()
     return sorted((tuple(r) for r in got), key=lambda r: (-r[1] / max(r[2], 1e-9), r[2], r[0])) or [(k, 0, 0.0) for k in range(len(rules))]
 
 
@@ -139,7 +139,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[int] |
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(c, pa.int64()) for c in out[:5]), *(pa.array(c, pa.bool_()) for c in out[5:])], ["doc_id", *names, "base_failed", "kept"])
 
     rows = common.columns(docs, "doc_id", "text")
-    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(common.trimmed(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

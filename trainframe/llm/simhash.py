@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(got)], ["doc_id", "fp"])
 
     rows = common.columns(docs, "doc_id", "text")
-    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(common.trimmed(run), "doc_id long, fp long")
 
 
 def _views() -> list[tuple[int, list[int]]]:
@@ -167,8 +167,8 @@ def links(fps: DataFrame, radius: int = 3, group: str = "") -> DataFrame:
                 x, y = near(a, b, radius)
                 yield edges(a[x], b[y]).select(["a", "b"])
 
-    met = common.materialize(rows.mapInArrow(meet, schema), "met", group)
-    deferred = met.where("left is not null").select("left", "right").repartition(n).mapInArrow(verify, "a long, b long")
+    met = common.materialize(rows.mapInArrow(common.trimmed(meet), schema), "met", group)
+    deferred = met.where("left is not null").select("left", "right").repartition(n).mapInArrow(common.trimmed(verify), "a long, b long")
     return met.where("a is not null").select("a", "b").union(deferred).where("a <> b").distinct()
 
 

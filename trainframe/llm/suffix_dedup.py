@@ -156,6 +156,7 @@ def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
     return tuple(np.concatenate(x) for x in (rows, firsts, counts, ranks, nexts, sides))
 
 
+SPAN = "row long, first long, end long"
 RUN = "rank long, next long, sides long, row long, first long, count int"
 HEADS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("rank", pa.int64()), ("sides", pa.int64())])
 
@@ -197,7 +198,7 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
                 s = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(rank[s].view(np.int64)), pa.array(nxt[s].view(np.int64)), pa.array(sides[s].view(np.int64)), pa.array(row[s]), pa.array(first[s]), pa.array(count[s].astype(np.int32))], ["rank", "next", "sides", "row", "first", "count"])
 
-    found = texts.mapInArrow(sample, RUN)
+    found = texts.mapInArrow(common.trimmed(sample), RUN)
     # repeats are dealt out by a key of their own, so a hot rank brings its task only a row per batch of texts
     key = F.when(F.col("count") < 0, F.xxhash64("row", "first")).otherwise(F.col("rank"))
     dealt = found.repartition(n, key).sortWithinPartitions("rank", "next", "row", "first")
@@ -233,7 +234,7 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
                     yield _spans(row[go], first[go], first[go] + count[go], rank[go], sides[go])
             last_rank, last_next, last_count = rank[-1], nxt[-1], count[-1]
 
-    got = common.materialize(dealt.mapInArrow(rerank, "row long, first long, end long, rank long, sides long"), "runs", group)
+    got = common.materialize(dealt.mapInArrow(common.trimmed(rerank), "row long, first long, end long, rank long, sides long"), "runs", group)
     # half way: each run under both of its halves; a half that only one run of the class has ends there
     half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")))).alias("h")
     sided = got.where("rank is not null").select("row", "first", "end", "rank", half).select("row", "first", "end", "rank", "h.side", "h.half")
@@ -282,10 +283,10 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
             yield _spans(row[same], first[same], first[same] + length).select(["row", "first", "end"])
 
     bytes_of = texts.withColumn("text", F.col("text").cast("binary")).join(left, "row").select("row", "text", "windows")
-    ranked = bytes_of.mapInArrow(windows, "k1 long, k2 long, row long, first long")
+    ranked = bytes_of.mapInArrow(common.trimmed(windows), "k1 long, k2 long, row long, first long")
     key = F.when(F.col("first") < 0, F.xxhash64("row", "first")).otherwise(F.xxhash64("k1", "k2"))
-    again = ranked.repartition(n, key).sortWithinPartitions("k1", "k2", "row", "first").mapInArrow(last_rank, "row long, first long, end long")
-    return got.where("rank is null").select("row", "first", "end").union(again)
+    again = ranked.repartition(n, key).sortWithinPartitions("k1", "k2", "row", "first").mapInArrow(common.trimmed(lambda batches: _merge(last_rank(batches))), SPAN)
+    return got.where("rank is null").select("row", "first", "end").mapInArrow(common.trimmed(_merge), SPAN).union(again)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,26 +309,26 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def _compact(spans: DataFrame) -> DataFrame:
-    """(row, spans): the spans of each row, sorted; touching ones are merged within a task before the shuffle."""
+def _merge(batches):
+    """Spans of each row, touching ones merged, sorted within a batch."""
+    for batch in batches:
+        row, first, end = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(row):
+            continue
+        o = np.lexsort((first, row))
+        row, first, end = row[o], first[o], end[o]
+        # rows side by side on one line, with a gap between any two: a new run starts after each gap
+        base = np.concatenate([[0], np.cumsum(row[1:] != row[:-1])]) * (int(end.max()) + 1)
+        upto, place = np.maximum.accumulate(end + base), first + base
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] > upto[:-1])])
+        begin = np.flatnonzero(new)
+        stop = np.maximum.reduceat(end, begin)
+        yield pa.RecordBatch.from_arrays([pa.array(row[begin]), pa.array(first[begin]), pa.array(stop)], ["row", "first", "end"])
 
-    def merge(batches):
-        for batch in batches:
-            row, first, end = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(row):
-                continue
-            o = np.lexsort((first, row))
-            row, first, end = row[o], first[o], end[o]
-            # rows side by side on one line, with a gap between any two: a new run starts after each gap
-            base = np.concatenate([[0], np.cumsum(row[1:] != row[:-1])]) * (int(end.max()) + 1)
-            upto, place = np.maximum.accumulate(end + base), first + base
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] > upto[:-1])])
-            begin = np.flatnonzero(new)
-            stop = np.maximum.reduceat(end, begin)
-            yield pa.RecordBatch.from_arrays([pa.array(row[begin]), pa.array(first[begin]), pa.array(stop)], ["row", "first", "end"])
 
-    small = spans.mapInArrow(merge, "row long, first long, end long")
-    return small.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+def _compact(spans: DataFrame) -> DataFrame:
+    """(row, spans): all spans of each row."""
+    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def ordered(docs: DataFrame, group: str = "") -> DataFrame:
@@ -369,4 +370,4 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(common.trimmed(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, kind: str =
         common.put_file(path, fill)
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [path], "n_ids": [total[0]], "n_docs": [total[1]]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
-    return common.materialize(rows.select("doc_id", "text").mapInArrow(write, "shard int, path string, n_ids long, n_docs long"), "token-files", group)
+    return common.materialize(rows.select("doc_id", "text").mapInArrow(common.trimmed(write), "shard int, path string, n_ids long, n_docs long"), "token-files", group)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                             crcs.append(crc)
                         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in some], pa.int64()), pa.array([base + d[1] for d in some], pa.int64()), pa.array([d[2] for d in some], pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(common.trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:

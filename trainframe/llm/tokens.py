@@ -87,6 +87,11 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+    def rest(self) -> None:
+        """At the end of a task: only words of the newer generation stay."""
+        self.old = {}
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process and tokenizer file."""
     if path not in _encoders:
