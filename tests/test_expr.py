@@ -28,7 +28,7 @@ SOURCES = [
     "sum(x.nums)", "max(x.nums)", "min(x.nums)", "abs(x.id)", "min(x.id, 5)", "max(x.id, 5)", "round(x.score)", "int(x.score)", "int('12')", "float('1.5')", "str(x.id)", "str(x.flag)", "bool(x.text)",
     "any(n > 2 for n in x.nums)", "all(n > 0 for n in x.nums)", "[n * 2 for n in x.nums if n > 1]", "sum(n for n in x.nums)", "len([m for m in x.messages if m.role == 'user'])", "any('i' in m.content for m in x.messages)",
     "x.score if x.flag else 0.0", "x.id or 5", "x.text or 'none'", "x.id and x.score", "f'{x.id}:{x.text}'", "','.join(x.meta.tags)", "math.sqrt(x.score)", "math.floor(x.score)", "math.pi", "re.search('o.W', x.text)", "re.findall('[a-z]+', x.text)",
-    "re.sub('[0-9]', '#', x.text)", "re.match('line', x.text)", "re.fullmatch('', x.text)", "x.id > 'a'", "x.text > 'L'", "x.meta.get('source', 'none')", "x.id * True", "x['id'] + 1", "not (x.id > 0 and x.score > 0)", "None", "x.score != x.score",
+    "re.sub('[0-9]', '#', x.text)", "re.match('line', x.text)", "re.fullmatch('', x.text)", "x.id > 'a'", "x.text > 'L'", "x.id * True", "x['id'] + 1", "not (x.id > 0 and x.score > 0)", "None", "x.score != x.score",
 ]
 
 

@@ -184,7 +184,7 @@ def test_command_line(spark, jsonl, tmp_path, capsys):
         return code, [json.loads(x) for x in out.getvalue().splitlines()]
 
     assert run("filter", jsonl, "x.id > 9") == (0, [r for r in RECORDS if r["id"] > 9])
-    assert [r["id"] for r in run("slice", jsonl, "-3:-1", "--order", "id")[1]] == [9, 10]
+    assert [r["id"] for r in run("slice", "--order", "id", "--", jsonl, "-3:-1")[1]] == [9, 10]
     assert run("stats", jsonl)[1][0]["count"] == 12
     assert len(run("explode", jsonl, "tags", "--as", "tag")[1]) == 12
     assert run("group", jsonl, "len(x.tags)")[1][0] == {"key": 0, "count": 4, "pct": 0.3333}

@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,10 @@ def parse(source: str) -> ast.expr:
         tree = ast.parse(source.strip(), mode="eval").body
     except SyntaxError as e:
         raise ExprError(f"{e.msg}\n  {source.strip()}\n  {' ' * ((e.offset or 1) - 1)}^") from None
-    if isinstance(tree, ast.Name) and tree.id in _KNOWN - {"x", "True", "False", "None"}:
-        raise ExprError(f"{tree.id} is a function; write {tree.id}(x)")
+    called = {n.func for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Name) and n.id in ROW_FUNCTIONS and n not in called:
+            raise ExprError(f"{n.id} is a function; write {n.id}(x)")
     bound = {n.id for c in ast.walk(tree) if isinstance(c, ast.comprehension) for n in ast.walk(c.target) if isinstance(n, ast.Name)}
     bound |= {a.arg for c in ast.walk(tree) if isinstance(c, ast.Lambda) for a in c.args.args}
     for n in ast.walk(tree):
@@ -518,8 +521,6 @@ def python_value(source: str, schema: T.StructType, returns: T.DataType) -> Valu
     """The same expression evaluated by Python on each row, Arrow batches at a time; null and ``err`` where it raises."""
     import json as json_
 
-    import pandas as pd
-
     code = compile(parse(source) and source.strip(), "<expression>", "eval")
     out = T.StructType([T.StructField("v", returns), T.StructField("err", T.BooleanType())])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def count_tokens(text: Column, model: str = DEFAULT_MODEL) -> Column:
     model = resolve_model(model)
     if model == DEFAULT_MODEL:
         return F.coalesce(F.regexp_count(text, F.lit(PATTERN)), F.lit(0))
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer

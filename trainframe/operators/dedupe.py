@@ -96,4 +96,4 @@ def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
         open_ = open_.join(out, open_.a == out.id, "left_anti").join(out, F.col("b") == out.id, "left_anti")
         open_ = open_.join(kept, open_.a == kept.id, "left_anti").checkpoint()
     stay = firsts if gone is None else firsts.join(gone, "id", "left_anti")
-    return df.join(stay, F.col(f"`{id_col}`") == stay.id, "left_semi")
+    return df.join(stay.select(F.col("id").alias("_stay")), F.col(f"`{id_col}`") == F.col("_stay"), "left_semi")
