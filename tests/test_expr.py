@@ -103,6 +103,15 @@ def test_whole_division_equals_python(spark, pairs):
         assert (r.q, r.m) == ((r.a // r.b, r.a % r.b) if r.b else (None, None))
 
 
+FILTERS = ["x.score > 0.5", "x.score > 0 and x.id > 5", "x.score > 0 or x.id > 5", "x.id > 5 or x.score > 0", "not x.score > 0", "not (x.score > 0 and x.id < 5)", "x.flag", "not x.flag", "x.flag or x.nums[0] > 2", "x.flag and x.nums[0] > 2", "x.text and x.id", "x.score != 0.75", "x.score is None or x.score < 0", "0 < x.score < 2", "len(x.text) > 3 and (x.flag or x.id)", "x.nums[0] > 2 or x.id == 0", "x.id == 0 or x.nums[0] > 2", "'a' in x.meta.tags or x.id < 0"]
+
+
+def test_filters_equal_python(frame):
+    for s in FILTERS:
+        want = {r["id"] for r in ROWS if (v := python(s, r)) is not FAILS and v}
+        assert {r.id for r in rows.filter_rows(frame, s).collect()} == want, s
+
+
 def test_errors_say_where():
     for source, what in (("x.a >", "\\^"), ("score > 1", "x.score"), ("turns > 1", "turns\\(x\\)"), ("", "empty"), ("search(x, 're:(')", "re:")):
         with pytest.raises(expr.ExprError, match=what):

@@ -74,7 +74,7 @@ def parse(source: str) -> ast.expr:
 
 class Compiler:
     def __init__(self, schema: T.StructType, names: dict[str, Value] | None = None):
-        self.schema, self.env = schema, dict(names or {})
+        self.schema, self.env, self.raw = schema, dict(names or {}), False
 
     # values
     def value(self, n: ast.expr) -> Value:
@@ -186,7 +186,8 @@ class Compiler:
             return Value(F.lit(False), _BOOL, F.lit(True))
         x, y = number(a), number(b)
         got = {ast.Lt: lambda: x < y, ast.LtE: lambda: x <= y, ast.Gt: lambda: x > y, ast.GtE: lambda: x >= y}[type(op)]()
-        return Value(F.coalesce(got, F.lit(False)), _BOOL, any_of(err, a.c.isNull() | b.c.isNull()) if not (isinstance(left, ast.Constant) and isinstance(right, ast.Constant)) else err)
+        # where one side is null the error counts; ``passing`` leaves the bare comparison, which a scan can take
+        return Value(got if self.raw else F.coalesce(got, F.lit(False)), _BOOL, any_of(err, a.c.isNull() | b.c.isNull()) if not (isinstance(left, ast.Constant) and isinstance(right, ast.Constant)) else err)
 
     def _contains(self, item: ast.expr, where: ast.expr) -> Value:
         if isinstance(where, ast.Tuple | ast.List | ast.Set):
@@ -501,6 +502,34 @@ def compile_where(source: str, schema: T.StructType) -> Value:
     return Value(truthy(v.c, v.t), _BOOL, v.err)
 
 
+def passing(source: str, schema: T.StructType) -> Column:
+    """Whether a row passes a filter: the predicate is true and nothing fails. Conjuncts stay apart, for the scan to take."""
+
+    def fine(err: Column | None) -> Column:
+        return F.lit(True) if err is None else ~F.coalesce(err, F.lit(False))
+
+    def leaf(n: ast.expr) -> Column:
+        c = Compiler(schema)
+        c.raw = isinstance(n, ast.Compare)
+        v = c.value(n)
+        return (v.c if c.raw else truthy(v.c, v.t)) & fine(v.err)
+
+    def walk(n: ast.expr) -> Column:
+        if not isinstance(n, ast.BoolOp):
+            return leaf(n)
+        *first, last = n.values
+        out = walk(last)
+        for m in reversed(first):
+            if isinstance(n.op, ast.And):
+                out = walk(m) & out
+            else:
+                yes, err = Compiler(schema).test(m)
+                out = fine(err) & (yes | out)
+        return out
+
+    return walk(parse(source))
+
+
 class RowView(dict):
     """A row in the Python fallback: fields as attributes and items."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import ExprError, value_of, where_of
+from ..functions.expr import ExprError, Unsupported, passing, value_of, where_of
 from ..functions.paths import path_value
 from ..functions.values import is_empty, length_of, strip
 
@@ -29,6 +29,12 @@ def _checked(c: Column, err: Column | None, strict: bool, what: str, otherwise:
 def filter_rows(df: DataFrame, *wheres: str, strict: bool = False) -> DataFrame:
     """Rows for which every expression is true; rows for which one fails are dropped, or end a strict query."""
     for w in wheres:
+        if not strict:
+            try:
+                df = df.where(passing(w, df.schema))
+                continue
+            except Unsupported:
+                pass  # evaluated by Python below
         v = where_of(w, df.schema)
         df = df.where(_checked(v.c, v.err, strict, w, F.lit(False)))
     return df
