@@ -67,7 +67,7 @@ def test_all_links_within_three_bits(spark, monkeypatch, chunk):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df).collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in got)
+    # edges go to the least node of what a bucket links, so they connect, no more
     assert components(fps, got) == components(fps, linked)
 
 
