@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +34,10 @@ def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
 
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of a text as an array; a shorter text is its own only one."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+    # a substring by its position walks the text from its start each time: slices of the characters do not
+    chars, most = F.split(c, ""), F.greatest(F.length(c) - n + 1, F.lit(1))
+    grams = F.arrays_zip(*(F.slice(chars, k + 1, most).alias(f"c{k}") for k in range(n)))
+    return F.when(F.length(c) <= n, F.array(c)).otherwise(F.array_distinct(F.transform(grams, lambda g: F.concat(*(g[f"c{k}"] for k in range(n))))))
 
 
 def bands(threshold: float, num_perm: int) -> tuple[int, int]:
@@ -59,13 +63,14 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
     hashes = F.transform(F.col("grams"), lambda g: F.xxhash64(g))
     texts = texts.withColumn("h", hashes)
 
-    def minimum(k: int) -> Column:
-        return F.array_min(F.transform(F.col("h"), lambda x: F.xxhash64(F.lit(k), x)))
+    # aggregates over exploded hashes are generated code, which functions of arrays are not
+    each = texts.select("id", F.xxhash64("h").alias("row"), F.explode("h").alias("x"))
+    minima = each.groupBy("id", "row").agg(*(F.min(F.xxhash64(F.lit(k), "x")).alias(f"m{k}") for k in range(b * r)))
 
     def band(k: int) -> Column:
-        return F.struct(F.lit(k).alias("band"), F.xxhash64(*(minimum(k * r + i) for i in range(r))).alias("code"))
+        return F.struct(F.lit(k).alias("band"), F.xxhash64(*(F.col(f"m{k * r + i}") for i in range(r))).alias("code"))
 
-    marks = texts.select("id", F.explode(F.array(*(band(k) for k in range(b)))).alias("m")).select("id", "m.band", "m.code")
+    marks = minima.select("id", F.explode(F.array(*(band(k) for k in range(b)))).alias("m")).select("id", "m.band", "m.code")
     right = marks.select(F.col("id").alias("b"), "band", "code")
     pairs = marks.withColumnRenamed("id", "a").join(right, ["band", "code"]).where("a < b").select("a", "b").distinct()
     sets = texts.select("id", "h")
@@ -75,6 +80,14 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: in the shared folder, or a temporary one where none is set, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8, num_perm: int = 128, ngram: int = 3, rounds: int = 50) -> DataFrame:
     """Rows that stay when each row in order of ``id_col`` drops out if an earlier row that stays is similar.
 
@@ -82,7 +95,7 @@ def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
     neighbours drop out; every round settles at least the first open row of each chain.
     """
     threshold = min(threshold, 0.99)
-    pairs = similar_pairs(df, key, id_col, threshold, num_perm, ngram).select("a", "b").checkpoint()
+    pairs = _cut(similar_pairs(df, key, id_col, threshold, num_perm, ngram).select("a", "b"))
     v = path_value(df.schema, key)
     text = F.coalesce(v.c.cast("string"), F.lit(""))
     firsts = df.groupBy(text.alias("t")).agg(F.min(F.col(f"`{id_col}`")).alias("id")).select("id")

@@ -15,11 +15,13 @@ from .operators import aggregate, dedupe, joins, order, presets, rows, sets, val
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries without SQL, as theirs would compare all pairs of rows; tests compare them with brute force.
+NO_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        (QUERIES if sql else NO_SQL)[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -372,6 +374,16 @@ def similar_pairs(spark, d):
     return dedupe.similar_pairs(table(spark, d, "benchmark"), "text", "item_id", num_perm=64).withColumn("similarity", F.round("similarity", 9))
 
 
+@query()
+def similar_documents(spark, d):
+    return dedupe.similar_pairs(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query()
+def dedupe_similar(spark, d):
+    return dedupe.dedupe_similar(table(spark, d, "documents"), "text", "doc_id").select("doc_id")
+
+
 @query("SELECT id, sum(n)::BIGINT AS n FROM (SELECT doc_id AS id, 1 AS n FROM documents UNION ALL SELECT item_id, 1 FROM benchmark) GROUP BY id")
 def concat_rows(spark, d):
     both = sets.concat(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
