@@ -5,6 +5,7 @@ import random
 import pytest
 
 from trainframe import queries
+from trainframe.operators import dedupe
 
 
 def grams(t):
@@ -66,3 +67,20 @@ def test_registered():
     import __spark_entry__ as e
 
     assert set(queries.NO_SQL) == {"similar_documents", "dedupe_similar"} <= set(e.queries()) and not set(queries.NO_SQL) & set(e.oracle_sql())
+
+
+def chain(n):
+    """Versions that drift: each is similar to the next, not to the one after that."""
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8 * n + 100))
+    return {k: text[8 * k : 8 * k + 100] for k in range(n)}
+
+
+@pytest.mark.parametrize(("n", "options"), [(210, {}), (9, {"at_once": 0})])
+def test_chain_of_versions(spark, n, options):
+    """All of a chain is settled, also where there are more pairs than are settled together."""
+    texts = chain(n)
+    pairs, kept = brute_force(texts)
+    assert len(pairs) == n - 1 and kept == list(range(0, n, 2))
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    assert sorted(r.id for r in dedupe.dedupe_similar(df, "t", "id", **options).select("id").collect()) == kept

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from ..functions.paths import path_value
 from .joins import first_rows
 
+#: Up to so many open pairs of near-duplicates are settled in order on the driver; more are settled in rounds.
+AT_ONCE = 200_000
+
 
 def _comparable(c: Column, t: T.DataType) -> Column:
     return F.to_json(c) if isinstance(t, T.ArrayType | T.StructType | T.MapType) else c
@@ -88,25 +92,39 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8, num_perm: int = 128, ngram: int = 3, rounds: int = 50) -> DataFrame:
+def _dropped(pairs: DataFrame) -> DataFrame:
+    """(id): of few ``pairs`` (a, b), a < b, each b with an a that does not drop out itself."""
+    found, out = pairs.orderBy("b").toArrow(), set()
+    for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
+        if a not in out:  # all pairs that could drop a came before
+            out.add(b)
+    return pairs.sparkSession.createDataFrame(pa.table({"id": pa.array(list(out), found["b"].type)}), pairs.select(F.col("b").alias("id")).schema)
+
+
+def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8, num_perm: int = 128, ngram: int = 3, at_once: int = AT_ONCE) -> DataFrame:
     """Rows that stay when each row in order of ``id_col`` drops out if an earlier row that stays is similar.
 
-    Equal texts keep their first row. Then rounds: a row all of whose earlier neighbours are out stays, and its later
-    neighbours drop out; every round settles at least the first open row of each chain.
+    Equal texts keep their first row. Then rounds until no pair is open: a row all of whose earlier neighbours are out
+    stays, and its later neighbours drop out; every round settles at least the first open row of each chain. Once at most
+    ``at_once`` pairs are open they are settled together, so that a long chain is not a round for two of its rows.
     """
     threshold = min(threshold, 0.99)
-    pairs = _cut(similar_pairs(df, key, id_col, threshold, num_perm, ngram).select("a", "b"))
+    open_ = _cut(similar_pairs(df, key, id_col, threshold, num_perm, ngram).select("a", "b"))
     v = path_value(df.schema, key)
     text = F.coalesce(v.c.cast("string"), F.lit(""))
     firsts = df.groupBy(text.alias("t")).agg(F.min(F.col(f"`{id_col}`")).alias("id")).select("id")
-    gone, open_ = None, pairs
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        kept = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
-        out = open_.join(kept, open_.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct().checkpoint()
+    gone = None
+    while not open_.isEmpty():
+        last = open_.limit(at_once + 1).count() <= at_once
+        if last:
+            out = _dropped(open_)
+        else:
+            kept = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
+            out = _cut(open_.join(kept, open_.a == kept.id, "left_semi").select(F.col("b").alias("id")).distinct())
         gone = out if gone is None else gone.union(out)
+        if last:
+            break
         open_ = open_.join(out, open_.a == out.id, "left_anti").join(out, F.col("b") == out.id, "left_anti")
-        open_ = open_.join(kept, open_.a == kept.id, "left_anti").checkpoint()
+        open_ = _cut(open_.join(kept, open_.a == kept.id, "left_anti"))
     stay = firsts if gone is None else firsts.join(gone, "id", "left_anti")
     return df.join(stay.select(F.col("id").alias("_stay")), F.col(f"`{id_col}`") == F.col("_stay"), "left_semi")
