@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trainframe.llm import kneser_ney as kn
 
@@ -119,6 +120,21 @@ def test_verdicts_of_odd_rows(spark):
     assert kn.judge(docs.limit(0), labels).count() == 0
 
 
+def test_threshold_is_the_quantile(spark):
+    """The threshold is the perplexity of a held-out text, nothing more: texts just over it are rejected."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(40)), "en") for k in range(150)]
+    rows += [(k, " ".join(r.choice(words) + "z" * (j < (k - 150) // 10) for j in range(40)), "en") for k in range(150, 250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    got = kn.judge(docs, labels).withColumn("held", (F.col("doc_id") < 150) & (F.pmod(F.xxhash64("text"), F.lit(kn.HELD_OUT)) == 0)).collect()
+    held = sorted(x.perplexity for x in got if x.held)
+    assert kn.FEW <= len(held) < 100 and all(x.threshold == pytest.approx(held[-1]) for x in got)
+    assert all(x.kept for x in got if x.held)
+    assert any(math.log(held[-1]) * 1.001 < math.log(x.perplexity) < math.log(held[-1]) * 1.1 and not x.kept for x in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the sample tables are not here")
 def test_held_out_labels(spark):
     """Trained on half of the good labels: the other half stays, of the bad a large share goes."""

@@ -23,8 +23,10 @@ ORDER = 5
 MOST_IDS = 1_000_000
 #: Up to so many model entries (16 bytes each) are sent to all executors; larger models are joined in shards.
 MOST_ENTRIES = 4_000_000
-#: Rejected: log-perplexity over this quantile of the language's held-out trusted documents by more than this share.
-QUANTILE, SLACK = 0.99, 0.1
+#: Rejected: log-perplexity over this quantile of the language's held-out trusted documents.
+QUANTILE = 0.99
+#: A text's score differs in its last digits by what is scored with it; the text at the quantile itself is kept.
+ROUNDING = 1e-8
 #: One in so many trusted texts, by hash, is held out of the model. A language with fewer than ``FEW`` of them has the
 #: threshold of all languages where that is higher.
 HELD_OUT, FEW = 5, 20
@@ -230,11 +232,11 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(good, F.col("doc_id") == F.col("_trusted"), "left_semi")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, most_entries: int = MOST_ENTRIES, group: str = "") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most_entries: int = MOST_ENTRIES, group: str = "") -> DataFrame:
     """``docs`` with perplexity, threshold (of its language) and kept; needs doc_id, text and lang.
 
-    The threshold of a language (null is one) is the ``quantile`` of its held-out trusted documents' log-perplexity and
-    ``slack`` of it more; a language without such documents has that of all. Rows without text have no perplexity and are
+    The threshold of a language (null is one) is the ``quantile`` of its held-out trusted documents' log-perplexity; a
+    language without such documents has that of all. Rows without text have no perplexity and are
     not kept. Without trusted text on either side everything with text is kept. Columns of those names are replaced.
     """
     docs = docs.drop("perplexity", "threshold", "kept", "_score")
@@ -242,7 +244,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     held_out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     model = train(trusted.where(~held_out), group)
     known = score(common.columns(trusted.where(held_out), "text", "lang"), model, most_entries, group).where("_score is not null").select("lang", "_score")
-    cut = F.percentile_approx("_score", F.lit(quantile), F.lit(10_000)) * (1 + slack)
+    cut = F.percentile_approx("_score", F.lit(quantile), F.lit(10_000))
     known = common.materialize(known, "scores", group)
     whole = known.agg(cut.alias("_cut")).first()[0]
     if whole is None or model.isEmpty():
@@ -254,7 +256,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
     out = score(docs, model, most_entries, group).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce("_cut", F.lit(whole))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.exp("_score").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("_score") <= limit, F.lit(False)).alias("kept"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.exp("_score").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("_score") <= limit * (1 + ROUNDING), F.lit(False)).alias("kept"))
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
