@@ -144,16 +144,19 @@ def connected_components(edges: DataFrame, group: str = "", most_rounds: int = 6
     """(node, component): for each node with an edge the least node that it reaches.
 
     ``edges`` has the columns a and b, both long; the direction does not count. Alternates the large-star and
-    small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond) until the edges are stars.
+    small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond) until the edges are stars;
+    raises where they are not after ``most_rounds``.
     Each round is written to the shared folder. Minima are aggregates, so hubs are combined before the shuffle, and
     the joins back to the edges are plain equi-joins that adaptive execution can split.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = materialize(e, "edges", group), None
-    for _ in range(most_rounds):
+    for k in range(most_rounds + 1):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
+        if k == most_rounds:
+            raise RuntimeError(f"connected components: the edges still change after {most_rounds} rounds")
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
