@@ -66,10 +66,28 @@ def test_encoder_equals_tokenizer():
     r = random.Random(9)
     pieces = ["word", "Ünï", "don't", "!", "...", "x1", "́", "İ", "漢", "😀", "'s", "<|endoftext|>", " ", "\t", "-", "AB", "é", "²", "_", "\x00", "�"]
     texts = TEXTS + ["".join(r.choice([*pieces, " ", " ", "\n"]) for _ in range(r.randint(1, 60))) for _ in range(400)]
-    enc = tokens.WordEncoder(tokens.default_tokenizer(), most=50)
-    for part in (texts[:200], texts[200:], texts[:200]):  # the cache turns over
-        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch([t or "" for t in part])]
-        assert got == reference(part)
+    texts += [f"a{chr(c)}b {chr(c)}" for c in range(1, 0x3000)] + ["x" * 47, "y" * 500, "!<|endoftext|>", "<|ENDOFTEXT|>", "it's the dog's 'tis can't they'd've x's's ''s"]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    assert enc.apart
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == reference(texts)
+
+
+def test_long_texts_in_strips(monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 50)
+    texts = ["é word, " * 100, "x" * 300 + " tail\n" * 30, "", "a b", " " * 400]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == reference(texts)
+
+
+def test_other_tokenizers_get_whole_texts():
+    """One that keeps spaces joins what they separate, so its texts are not split."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = tokens.Encoder(path), ["hello world", "", "a\n\nb  c é"]
+    want = [g.ids for g in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert not enc.apart and [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(texts)] == want
 
 
 def test_query(spark, tmp_path):

@@ -20,30 +20,46 @@ from .tokens import default_tokenizer, encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Most ids of a row of pass one.
+ROW = 1_000_000
+
+
+def _rows(part: int, before: int, docs: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of pass one: documents with offsets ``at`` in ``ids``, cut to rows of at most ``ROW`` ids."""
+    total = np.diff(at)
+    pieces = np.maximum(1, -(-total // ROW))
+    of = np.repeat(np.arange(len(docs)), pieces)
+    first = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * ROW
+    n = np.minimum(total[of] - first, ROW)
+    start = at[of] + first
+    held = pa.py_buffer(np.ascontiguousarray(ids[start[0] : start[-1] + n[-1]]))
+    offsets = (np.concatenate([start - start[0], [start[-1] - start[0] + n[-1]]]) * ids.itemsize).astype(np.int64)
+    data = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(offsets), held]).cast(pa.binary())
+    cols = [pa.array(np.full(len(of), part, np.int32)), docs.take(pa.array(of)), pa.array(before + start), pa.array(first), pa.array(total[of]), pa.array(n), data]
+    return pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "at", "first", "doc_tokens", "n", "ids"])
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, group: str = "") -> DataFrame:
     """Pass one, written to the shared folder: part, doc_id, at (ids before it in its partition), n, ids.
 
     A null text is empty and so holds only ``end_id``. Ids take 2 bytes where the vocabulary allows, else 4. Long
-    documents are cut into rows of at most a million ids (``first`` is the position of a row's first id in its document).
+    documents are cut into rows of at most ``ROW`` ids (``first`` is the position of a row's first id in its document).
     """
 
     def encode(batches):
         from pyspark import TaskContext
 
-        enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         for batch in batches:
-            _, offsets = common.text_bytes(batch.column(1))
-            for i, j in common.parts(offsets, 1 << 20):
-                out: list[tuple] = []
-                for doc, got in zip(batch.column(0)[i:j].to_pylist(), enc.encode_batch([t or "" for t in batch.column(1)[i:j].to_pylist()]), strict=True):
-                    ids = np.append(np.frombuffer(got, "<u4"), np.uint32(end_id))
-                    for k in range(0, len(ids), 1_000_000):
-                        row = ids[k : k + 1_000_000]
-                        out.append((part, doc, at + k, k, len(ids), len(row), row.astype("<u4" if wide else "<u2").tobytes()))
-                    at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "doc_id", "at", "first", "doc_tokens", "n", "ids"])
-        enc.rest()
+            for i, j, ids, at in enc.encode(batch.column(1)):
+                # every document's end id goes behind its ids
+                ids = np.insert(ids, at[1:], end_id).astype("<u4" if wide else "<u2")
+                at = at + np.arange(j - i + 1)
+                for k in range(i, j, 10_000):
+                    k2 = min(j, k + 10_000)
+                    yield _rows(part, before, batch.column(0)[k:k2], ids, at[k - i : k2 - i + 1])
+                before += len(ids)
 
     rows = common.columns(docs, "doc_id", "text").mapInArrow(common.trimmed(encode), "part int, doc_id long, at long, first long, doc_tokens long, n long, ids binary")
     return common.materialize(rows, "encoded", group)

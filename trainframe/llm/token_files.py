@@ -55,15 +55,18 @@ class Writer:
         self.docs: list[list] = []
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append([doc_id, self.total, len(ids)])
-        self.total += len(ids)
-        while len(ids):
-            part, ids = ids[: self.chunk - self.have], ids[self.chunk - self.have :]
-            self.held.append(part)
-            self.have += len(part)
-            if self.have == self.chunk:
-                self._flush()
+    def add(self, doc_id: int | None, *runs: np.ndarray) -> None:
+        """A document of the ids of all ``runs``."""
+        n = sum(map(len, runs))
+        self.docs.append([doc_id, self.total, n])
+        self.total += n
+        for ids in runs:
+            while len(ids):
+                part, ids = ids[: self.chunk - self.have], ids[self.chunk - self.have :]
+                self.held.append(part)
+                self.have += len(part)
+                if self.have == self.chunk:
+                    self._flush()
 
     def _flush(self) -> None:
         ids, entry = np.concatenate(self.held), []
@@ -135,7 +138,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, kind: str =
     def write(batches):
         from pyspark import TaskContext
 
-        encode, end = encoder(tokenizer).encode_batch, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4")
         task = TaskContext.get()
         path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         total = [0, 0]
@@ -143,11 +146,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, kind: str =
         def fill(out):
             w = Writer(out, kind, chunk)
             for batch in batches:
-                _, at = common.text_bytes(batch.column(1))
-                for i, j in common.parts(at, 1 << 20):
-                    ids = batch.column(0)[i:j].to_pylist()
-                    for doc, got in zip(ids, encode([t or "" for t in batch.column(1)[i:j].to_pylist()]), strict=True):
-                        w.add(doc, np.frombuffer(got + end, "<u4"))
+                for i, j, ids, at in encode(batch.column(1)):
+                    for doc, a, b in zip(batch.column(0)[i:j].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        w.add(doc, ids[a:b], end)
             w.close()
             total[:] = [w.total, len(w.docs)]
 
