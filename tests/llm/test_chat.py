@@ -78,5 +78,41 @@ def test_query(spark, tmp_path):
     check(spark, tmp_path, rows)
 
 
+def test_roles_stay_and_rows_repeat(spark, tmp_path):
+    """Roles that are another layout's aliases keep their names, and repeated rows count each."""
+    check(spark, tmp_path, [(1, 0, "human", "u"), (1, 1, "model", "m"), (1, 2, "gpt", "g"), (1, 3, "assistant", "a"), (1, 3, "assistant", "a"), (2, None, "user", "x"), (2, None, "user", "x"), (None, 1, "user", "nobody")])
+
+
+def test_odd_json(spark):
+    """Half a surrogate pair, nesting beyond the parser's depth, long numbers and mixed layouts end no job."""
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [
+        (1, '{"prompt": "a\\ud83d", "response": "\\ud83d\\ude00"}'),
+        (2, '{"prompt": "p", "response": %s}' % deep),
+        (3, '{"prompt": "p", "response": %s}' % ("9" * 5000)),
+        (4, '{"\\udc00": 1, "prompt": "p", "response": NaN}'),
+        (5, '{"messages": [{"role": "human", "content": "m"}], "prompt": "p", "response": "r", "question": "q", "answer": "a"}'),
+        (5, '{"messages": [{"role": "human", "content": "m"}]}'),
+    ]
+    got = [(r.key, r.layout, r.formatted and chat.parse(r.formatted)) for r in chat.format_chat(spark.createDataFrame(rows, "key long, record string"), "key", "record").collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "prompt-response", [("user", "a\ufffd"), ("assistant", "\U0001f600")]),
+        (2, None, None),
+        (3, None, None),
+        (4, "prompt-response", [("user", "p"), ("assistant", "NaN")]),
+        (5, "messages", [("user", "m")]),
+        (5, "messages", [("user", "m")]),
+    ], key=str)
+
+
+def test_declared_fingerprints():
+    """Each layout's records are found by the hash of their paths alone, whatever other fields they have."""
+    table = chat.declared()
+    for record, layout, _ in RECORDS.values():
+        core = chat.paths(record) & set().union(*map(chat.named, chat.LAYOUTS))
+        found = table.get(chat.fingerprint(core))
+        assert (found and found.name) == layout
+
+
 def test_empty_table(spark, tmp_path):
     check(spark, tmp_path, [])

@@ -1,8 +1,9 @@
 """Chat formatting: schema fingerprints select declarative mappings from many layouts to turns, then a template.
 
-A record is JSON. The set of its nested field paths (with kinds, ``[]`` for list items) is hashed; the hash selects a
-mapping that is declared once for a layout, found among ``LAYOUTS`` by the paths that it needs when a fingerprint is
-first seen. The template marks turns; control strings inside texts are escaped, so the output can be parsed back.
+A record is JSON. The nested field paths (``[]`` for list items) that some layout names are hashed; ``declared`` has the
+fingerprints of all sets of paths that a layout allows, and the hash selects the layout's mapping there. Only a record
+whose set is none of those (fields of two layouts at once) is matched by the paths that layouts need, in their order.
+The template marks turns; control strings inside texts are escaped, so the output can be parsed back.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ LAYOUTS = (
     Layout("qa", ("question", "answer"), fields=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
     Layout("qa-nested", ("qa.question", "qa.answer"), fields=(("user", "qa.question"), ("assistant", "qa.answer"))),
 )
+#: Messages whose roles are what the template knows already; none is an alias of another.
+CONVERSATION = Layout("conversation", ("messages[].role", "messages[].content"), "messages", "role", "content", roles={})
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -58,7 +61,26 @@ def paths(value, at: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str]) -> str:
-    return xxhash.xxh64_hexdigest("\n".join(sorted(found)).encode())
+    return xxhash.xxh64_hexdigest("\n".join(sorted(found)).encode(errors="surrogatepass"))
+
+
+def named(layout: Layout) -> set[str]:
+    """All paths that a layout names, needed or not."""
+    return {*layout.needs, *(p for _, path in layout.fields for p in path.split("+")), *([f"{layout.turns}[]"] if layout.turns else [])}
+
+
+def declared(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
+    """The fingerprint of every set of paths that one layout allows: what it needs, with any of what else it names."""
+    table: dict[str, Layout] = {}
+    for x in layouts:
+        if x.turns:
+            sets = [set(x.needs), {f"{x.turns}[]"}]
+        else:
+            more = sorted(named(x) - set(x.needs))
+            sets = [set(x.needs) | {m for k, m in enumerate(more) if pick >> k & 1} for pick in range(1 << len(more))]
+        for found in sets:
+            table.setdefault(fingerprint(found), x)
+    return table
 
 
 def select_layout(found: set[str], layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
@@ -69,8 +91,13 @@ def select_layout(found: set[str], layouts: tuple[Layout, ...] = LAYOUTS) -> Lay
     return None
 
 
+#: Half of a surrogate pair, which JSON can escape and UTF-8 cannot hold.
+HALF = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return HALF.sub("\ufffd", text)
 
 
 def _at(record: dict, path: str):
@@ -148,37 +175,36 @@ FORMATTED = "layout string, fingerprint string, n_turns long, formatted string,
 def format_chat(records: DataFrame, key: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Format JSON records of mixed layouts: ``key`` and the columns of ``FORMATTED``, a row for each row.
 
-    A record that is null, no JSON object or of no known layout has null in all but ``fingerprint`` (of what paths it
-    has), so nothing is dropped. Other columns are not read.
+    A record that is null, no JSON object (or one nested deeper than Python's parser goes) or of no known layout has null
+    in all but ``fingerprint`` (of what paths it has), so nothing is dropped. A lone surrogate in a text becomes U+FFFD.
+    Rows that repeat a key each give a row. Other columns are not read.
     """
     given = records.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{record}`").cast("string").alias("record"))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), spans_type)
+    names = ["key", "layout", "fingerprint", "n_turns", "formatted", "loss_spans"]
 
     def run(batches):
-        known: dict[str, Layout | None] = {}
-        for batch in batches:
-            out: list[tuple] = []
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
+        table, core = declared(layouts), set().union(*map(named, layouts))
+
+        def one(raw: str | None) -> tuple:
+            try:
+                value = json.loads(raw) if raw is not None else None
                 found = paths(value) if isinstance(value, dict) else set()
-                mark = fingerprint(found)
-                if mark not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[mark] = select_layout(found, layouts)
-                layout = known[mark]
+                layout = table.get(fingerprint(found & core)) or select_layout(found, layouts)
                 if layout is None:
-                    out.append((k, None, mark, None, None, None))
-                    continue
+                    return None, fingerprint(found), None, None, None
                 said = turns(value, layout)
-                formatted, spans = render(said)
-                out.append((k, layout.name, mark, len(said), formatted, [{"start": a, "end": b} for a, b in spans]))
-            if out:
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), spans_type)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "layout", "fingerprint", "n_turns", "formatted", "loss_spans"])
+            except (ValueError, RecursionError):
+                return None, fingerprint(set()), None, None, None
+            formatted, spans = render(said)
+            return layout.name, fingerprint(found), len(said), formatted, [{"start": a, "end": b} for a, b in spans]
+
+        for batch in batches:
+            _, at = common.text_bytes(batch.column(1))
+            for i, j in common.parts(at, 8 << 20):
+                out = [(k, *one(raw)) for k, raw in zip(batch.column(0)[i:j].to_pylist(), batch.column(1)[i:j].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return given.mapInArrow(run, "key long, " + FORMATTED).withColumnRenamed("key", key)
 
@@ -186,7 +212,8 @@ def format_chat(records: DataFrame, key: str, record: str, layouts: tuple[Layout
 def conversation_records(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): the rows of each conversation as JSON messages in the order of turn, role and text.
 
-    A null text or role is empty, null turns come first, rows with a null conv_id are one conversation.
+    A null text or role is empty, null turns come first, repeated rows count each, rows with a null conv_id are one
+    conversation. A conversation is one row here, as it is in what is formatted.
     """
     rows = common.columns(conversations, "conv_id", "turn", "role", "text")
     said = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
@@ -195,12 +222,16 @@ def conversation_records(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, from the output alone: the formatted text and its loss spans."""
+    """Digests of formatted conversations, from the output alone: the formatted text and its loss spans.
+
+    Records that were not formatted count as conversations without turns.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for k, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, spans = text or "", spans or ()
                 said = parse(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 whole = "".join(f"{r}\n{t}\n" for r, t in said)
@@ -217,4 +248,4 @@ def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
     records = conversation_records(spark.read.parquet(f"{sf_dir}/conversations.parquet")).union(extra)
-    return read_back(format_chat(records, "conv_id", "record"))
+    return read_back(format_chat(records, "conv_id", "record", (CONVERSATION, *LAYOUTS[1:])))
