@@ -1,5 +1,7 @@
 """Spherical caps: list decoding, recall against brute force, exact counts of what is found, edge cases."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -43,25 +45,26 @@ def test_decoding_finds_every_filter_over_the_level():
     for dim in (1, 3, 4, 17, 64):
         u = rng.standard_normal((40, dim))
         u /= np.linalg.norm(u, axis=1)[:, None]
-        row, found = caps.decode(u)
+        by = caps.plan(300_000 if dim == 17 else 40, dim)
+        row, found = caps.decode(u, by)
         got = set(zip(row.tolist(), found.tolist(), strict=True))
-        want, least = set(), min(caps.LEVEL / dim**0.5, 0.85)
+        want, least = set(), by.level
         for k in range(caps.CODES):
-            rotation, words = caps.code(dim, k)
+            rotation, words = caps.code(dim, k, by.words)
             turned = u @ rotation
             if len(words) == 1:
                 score = turned @ words[0].T
-                want |= {(int(r), int((k * caps.WORDS + f // caps.WORDS) * caps.WORDS + f % caps.WORDS)) for r, f in zip(*np.nonzero(score >= least), strict=True)}
+                want |= {(int(r), int(k * by.words + f)) for r, f in zip(*np.nonzero(score >= least), strict=True)}
                 continue
             half = words[0].shape[1]
             score = (turned[:, :half] @ words[0].T)[:, :, None] + (turned[:, half:] @ words[1].T)[:, None, :]
-            want |= {(int(r), int((k * caps.WORDS + i) * caps.WORDS + j)) for r, i, j in zip(*np.nonzero(score >= least), strict=True)}
+            want |= {(int(r), int((k * by.words + i) * by.words + j)) for r, i, j in zip(*np.nonzero(score >= least), strict=True)}
         assert got == want
 
 
-@pytest.mark.parametrize("chunk", [2048, 30])
+@pytest.mark.parametrize("chunk", [4096, 30])
 def test_recall_counts_and_components(spark, tmp_path, monkeypatch, chunk):
-    """Small chunks send the pairs of a filter through the deferred tasks."""
+    """Small chunks split the filters."""
     monkeypatch.setattr(caps, "CHUNK", chunk)
     v = planted()
     near = brute(v)
@@ -80,6 +83,31 @@ def test_recall_counts_and_components(spark, tmp_path, monkeypatch, chunk):
     assert len(set(n[copies])) == 1 and n[3] >= 40
 
 
+def test_plans_follow_the_number_of_vectors():
+    """Filters stay small and a pair at the bound shares as many of them, whatever the number of vectors."""
+    for n in (10**4, 10**6, 10**8, 10**9):
+        by = caps.plan(n, 64)
+        one, both = caps.chances(64, by.level, 0.9)
+        assert n * one <= 2 * caps.HELD and caps.CODES * by.words**2 * both >= 0.9 * caps.SHARED
+        assert caps.CODES * by.words**2 * one < 500 and by.words <= caps.MOST_WORDS
+
+
+@pytest.mark.parametrize("n", [10**6, 10**8])
+def test_recall_of_codes_for_many_vectors(n):
+    """The codes for large tables, on pairs at the bound: at least 0.97 share a filter."""
+    rng, by = np.random.default_rng(8), caps.plan(n, 64)
+    u = rng.standard_normal((300, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.standard_normal((300, 64))
+    w -= (w * u).sum(axis=1)[:, None] * u
+    v = 0.9 * u + math.sqrt(0.19) * w / np.linalg.norm(w, axis=1)[:, None]
+    shared = 0
+    for i in range(0, 300, 50):
+        (ra, fa), (rb, fb) = caps.decode(u[i : i + 50], by), caps.decode(v[i : i + 50], by)
+        shared += len({r for r, f in set(zip(ra.tolist(), fa.tolist())) & set(zip(rb.tolist(), fb.tolist()))})
+    assert shared >= 0.97 * 300
+
+
 def test_bad_vectors_link_with_nothing(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     one = [1.0, 2.0, 3.0]

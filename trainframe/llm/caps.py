@@ -3,12 +3,14 @@
 A filter is a direction; it holds the vectors whose inner product with it exceeds a level, a cap of the sphere. The
 directions of one code are all concatenations of one codeword for each block of coordinates (after a random rotation), so
 a vector's filters are decoded block by block without visiting the rest. Vectors meet in a filter, where all pairs are
-verified in double precision by matrix products, and each pair counts in the first filter that holds both.
+verified in double precision by matrix products, and each pair counts in the first filter that holds both. The number of
+filters and their level follow from the number of vectors (``plan``).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,33 +21,90 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Codes, codewords of a block, and the level in standard deviations of a random vector's inner product. At 64
-#: dimensions a pair with cosine 0.9 shares a filter with probability 0.99, one with 0.95 practically always. More
-#: vectors want more codewords at a higher level: filters then stay small (the square of ``WORDS`` is their number).
+#: Codes; least codewords of a block, and least level in standard deviations of a random vector's inner product.
 CODES, WORDS, LEVEL = 5, 128, 3.2
-#: Most vectors that are verified against each other at a time; larger filters are cut to pairs of chunks.
-CHUNK = 2048
+#: Filters that a pair at the least cosine shares on average, and random vectors that a filter holds at most on average.
+SHARED, HELD = 15.0, 32.0
+#: Most codewords of a block; beyond that filters hold more.
+MOST_WORDS = 32_768
+#: Filters of more vectors are cut to chunks of this size, of which each pair is verified on its own.
+CHUNK = 4096
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Codewords of a block, and the level of inner products that a filter's vectors exceed."""
+
+    words: int
+    level: float
+
+
+def blocks_of(dim: int) -> int:
+    return 2 if dim >= 4 else 1
 
 
 @lru_cache(maxsize=64)
-def code(dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rotation and codewords of each block of code ``k``."""
+def tails(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of [-1, 1], and the share of the unit sphere whose first coordinate is at least that."""
+    angle = np.linspace(np.pi, 0, 20_001)
+    weight = np.sin(angle) ** (dim - 2) if dim >= 2 else np.zeros_like(angle)
+    if dim < 2:
+        return np.cos(angle), np.where(np.cos(angle) <= -1, 1.0, 0.5)
+    part = np.concatenate([[0.0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return np.cos(angle), 1 - part / part[-1]
+
+
+def chances(dim: int, level: float, cosine: float) -> tuple[float, float]:
+    """The chance that a random vector is in a filter, and that both of a pair with this cosine are."""
+    x, over = tails(dim)
+    y, rest = tails(max(dim - 1, 1))
+    one = float(np.interp(level, x, over))
+    at = np.linspace(level, 1, 2001)
+    share = -np.diff(np.interp(at, x, over))
+    mid = (at[1:] + at[:-1]) / 2
+    with np.errstate(divide="ignore"):
+        need = (level - cosine * mid) / (math.sqrt(max(1 - cosine**2, 1e-12)) * np.sqrt(1 - mid**2))
+    return one, float((share * np.interp(np.clip(need, -1, 1), y, rest, right=0) * (need <= 1)).sum())
+
+
+def plan(n: int, dim: int, cosine: float = 0.9) -> Plan:
+    """The code for ``n`` vectors: more of them get a higher level, so that filters stay small, and as many more codewords.
+
+    The number of filters grows so that a pair at ``cosine`` still shares ``SHARED`` of them; what a vector is compared with
+    is its filters times what they hold, which grows far slower than ``n``.
+    """
+    level, words = min(LEVEL / math.sqrt(dim), 0.85), WORDS
+    while level < 0.95:
+        one, both = chances(dim, level, cosine)
+        if n * one <= HELD:
+            break
+        higher = level + 0.01
+        cells = SHARED / CODES / max(chances(dim, higher, cosine)[1], 1e-300)
+        want = math.ceil(cells ** (1 / blocks_of(dim)))
+        if want > MOST_WORDS:
+            break
+        level, words = higher, max(words, want)
+    return Plan(words, level)
+
+
+@lru_cache(maxsize=64)
+def code(dim: int, k: int, n: int = WORDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotation and the ``n`` codewords of each block of code ``k``."""
     rng = np.random.default_rng([20_21, dim, k])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    blocks, cuts = 2 if dim >= 4 else 1, []
+    blocks, cuts = blocks_of(dim), []
     for b in range(blocks):
-        words = rng.standard_normal((WORDS, dim * (b + 1) // blocks - dim * b // blocks))
+        words = rng.standard_normal((n, dim * (b + 1) // blocks - dim * b // blocks))
         cuts.append(words / np.linalg.norm(words, axis=1)[:, None] / math.sqrt(blocks))
     return rotation, cuts
 
 
-def decode(unit: np.ndarray, level: float = LEVEL) -> tuple[np.ndarray, np.ndarray]:
+def decode(unit: np.ndarray, by: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters of each row of ``unit`` (unit vectors of one dimension), ordered by row."""
-    dim = unit.shape[1]
-    least = min(level / math.sqrt(dim), 0.85)
+    dim, least = unit.shape[1], by.level
     rows, filters = [], []
     for k in range(CODES):
-        rotation, words = code(dim, k)
+        rotation, words = code(dim, k, by.words)
         turned, half = unit @ rotation, words[0].shape[1]
         first = turned[:, :half] @ words[0].T
         if len(words) == 1:
@@ -53,12 +112,18 @@ def decode(unit: np.ndarray, level: float = LEVEL) -> tuple[np.ndarray, np.ndarr
             f = i
         else:
             second = turned[:, half:] @ words[1].T
-            # only first codewords that the best second one can lift over the level
+            # only codewords that the other block's best one can lift over the level
             r0, i0 = np.nonzero(first + second.max(axis=1)[:, None] >= least)
-            x, j = np.nonzero(first[r0, i0][:, None] + second[r0] >= least)
-            r, f = r0[x], i0[x] * WORDS + j
+            r1, i1 = np.nonzero(second + first.max(axis=1)[:, None] >= least)
+            begin, end = np.searchsorted(r1, r0), np.searchsorted(r1, r0, side="right")
+            size = end - begin
+            x = np.repeat(np.arange(len(r0)), size)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + begin[x]
+            over = first[r0[x], i0[x]] + second[r0[x], i1[y]] >= least
+            x, y = x[over], y[over]
+            r, f = r0[x], i0[x].astype(np.int64) * by.words + i1[y]
         rows.append(r)
-        filters.append((k * WORDS + f // WORDS) * WORDS + f % WORDS)
+        filters.append(k * by.words ** len(words) + f)
     row, found = np.concatenate(rows), np.concatenate(filters).astype(np.int64)
     o = np.lexsort((found, row))
     return row[o], found[o]
@@ -92,116 +157,128 @@ def vectors(table: DataFrame, key: str, column: str) -> DataFrame:
     return rows.mapInArrow(common.trimmed(run), "vec_id long, dim int, hash binary, vec binary")
 
 
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("filter", pa.int64()), ("dim", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
-MET_SQL = "a long, b long, links long, filter long, dim int, left binary, right binary"
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+MET_SQL = "a long, b long, links long"
 
 
 def _met(a, b=None, links=None) -> pa.RecordBatch:
-    n, null = len(a), lambda t: pa.nulls(len(a), t)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), null(pa.int64()) if b is None else pa.array(b, pa.int64()), null(pa.int64()) if links is None else pa.array(links, pa.int64()), null(pa.int64()), pa.nulls(n, pa.int32()), null(pa.binary()), null(pa.binary())], schema=MET)
-
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if links is None else pa.array(links, pa.int64())], schema=MET)
 
-def _pack(node: np.ndarray, n: np.ndarray, unit: np.ndarray) -> bytes:
-    return node.astype("<i8").tobytes() + n.astype("<i8").tobytes() + unit.astype("<f8").tobytes()
 
-
-def _unpack(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = len(data) // (16 + 8 * dim)
-    return np.frombuffer(data, "<i8", m), np.frombuffer(data, "<i8", m, 8 * m), np.frombuffer(data, "<f8", m * dim, 16 * m).reshape(m, dim)
-
-
-def verify(which: int, left: tuple, right: tuple | None, least: float):
+def verify(which: int, left: tuple, right: tuple | None, least: float, by: Plan):
     """Links between (node, count, unit vectors) of filter ``which`` that no earlier filter holds both ends of."""
     a, na, ua = left
     b, nb, ub = right or left
-    near = ua @ ub.T >= least
-    if right is None:
-        near &= ~np.tri(len(a), dtype=bool)
-    x, y = near.any(axis=1).nonzero()[0], near.any(axis=0).nonzero()[0]
-    if not len(x):
-        return
-    near = near[np.ix_(x, y)]
 
     def before(unit):
-        row, found = decode(unit)
+        row, found = decode(unit, by)
         keep = found < which
         return row[keep], found[keep]
 
-    (rx, fx), (ry, fy) = before(ua[x]), before(ub[y])
-    both = np.intersect1d(fx, fy)
-    if len(both):
-        mx, my = np.zeros((len(x), len(both)), np.float32), np.zeros((len(y), len(both)), np.float32)
-        for m, r, f in ((mx, rx, fx), (my, ry, fy)):
-            k = np.minimum(np.searchsorted(both, f), len(both) - 1)
-            good = both[k] == f
-            m[r[good], k[good]] = 1
-        near &= mx @ my.T == 0
-    i, j = near.nonzero()
-    if not len(i):
-        return
-    yield _met(*common.forest(a[x][i], b[y][j]))
-    for node, count in ((a[x], near @ nb[y]), (b[y], near.T @ na[x])):
-        some = count > 0
-        yield _met(node[some], links=count[some])
+    for at in range(0, len(a), 512):  # strips, so that memory is that of 512 rows of products
+        near = ua[at : at + 512] @ ub.T >= least
+        if right is None:
+            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(near))[:, None]
+        x, y = near.any(axis=1).nonzero()[0], near.any(axis=0).nonzero()[0]
+        if not len(x):
+            continue
+        near = near[np.ix_(x, y)]
+        x = x + at
+        (rx, fx), (ry, fy) = before(ua[x]), before(ub[y])
+        both = np.intersect1d(fx, fy)
+        for c in range(0, len(both), 4096):
+            some = both[c : c + 4096]
+            mx, my = np.zeros((len(x), len(some)), np.float32), np.zeros((len(y), len(some)), np.float32)
+            for m, r, f in ((mx, rx, fx), (my, ry, fy)):
+                k = np.minimum(np.searchsorted(some, f), len(some) - 1)
+                good = some[k] == f
+                m[r[good], k[good]] = 1
+            near &= mx @ my.T == 0
+        i, j = near.nonzero()
+        if not len(i):
+            continue
+        yield _met(*common.forest(a[x][i], b[y][j]))
+        for node, count in ((a[x], near @ nb[y]), (b[y], near.T @ na[x])):
+            some = count > 0
+            yield _met(node[some], links=count[some])
 
 
 def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame, DataFrame]:
-    """Of distinct vectors (node, n, dim, vec): edges (a, b), a forest of the links, and (node, links), counts of vectors."""
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Of distinct vectors (node, n, dim, vec): edges (a, b), a forest of the links, and (node, links), counts of vectors.
 
-    def spread(batches):
-        for batch in batches:
-            node, n, dim = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for d in np.unique(dim).tolist():
-                mine = np.flatnonzero(dim == d)
-                for i in range(0, len(mine), 512):
-                    at = mine[i : i + 512]
-                    vec = batch.column(3).take(pa.array(at))
-                    row, found = decode(unit_rows(vec.to_pylist(), d))
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(row), d, np.int32)), pa.array(node[at][row]), pa.array(n[at][row]), vec.take(pa.array(row))], ["filter", "dim", "node", "n", "vec"])
-
-    rows = classes.select("node", "n", "dim", "vec").mapInArrow(common.trimmed(spread), "filter long, dim int, node long, n long, vec binary")
-    rows = rows.repartition(parts, "filter", "dim").sortWithinPartitions("filter", "dim")
-
-    def bucket(which: int, dim: int, held: list[tuple]):
-        node, n, vec = (np.concatenate(x) for x in zip(*held, strict=True))
+    Filters of more than ``CHUNK`` vectors are found by a count first. Their vectors are dealt to chunks by hash, and go to
+    each pair of chunks that has theirs, so no task gathers more than two chunks of a filter.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row for each length of vectors
+    plans = {r.dim: plan(r["count"], r.dim, least) for r in classes.groupBy("dim").count().collect()}
+
+    def spread(whole: bool):
+        def run(batches):
+            for batch in batches:
+                dim = batch.column(0).to_numpy(zero_copy_only=False)
+                for d in np.unique(dim).tolist():
+                    mine = np.flatnonzero(dim == d)
+                    step = max(16, min(512, (1 << 23) // plans[d].words))
+                    for i in range(0, len(mine), step):
+                        at = mine[i : i + step]
+                        vec = batch.column(1).take(pa.array(at))
+                        row, found = decode(unit_rows(vec.to_pylist(), d), plans[d])
+                        cols = [pa.array(found), pa.array(np.full(len(row), d, np.int32))]
+                        if whole:
+                            cols += [batch.column(k).take(pa.array(at[row])) for k in (2, 3)] + [vec.take(pa.array(row))]
+                        yield pa.RecordBatch.from_arrays(cols, ["filter", "dim", "node", "n", "vec"][: len(cols)])
+
+        return common.trimmed(run)
+
+    counted = classes.select("dim", "vec").mapInArrow(spread(False), "filter long, dim int").groupBy("filter", "dim").count()
+    hot = common.materialize(counted.where(F.col("count") > CHUNK), "hot-filters", group)
+    rows = classes.select("dim", "vec", "node", "n").mapInArrow(spread(True), "filter long, dim int, node long, n long, vec binary")
+    whole = F.lit(0).cast("int")
+    if hot.isEmpty():
+        rows = rows.withColumns({"i": whole, "j": whole, "chunk": whole})
+    else:
+        rows = rows.join(hot, ["filter", "dim"], "left")
+        chunks = F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int")
+        rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.select("filter", "dim", "node", "n", "vec", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    rows = rows.repartition(parts, "filter", "dim", "i", "j").sortWithinPartitions("filter", "dim", "i", "j", "chunk")
+    rows = rows.select("filter", "dim", "i", "j", "chunk", "node", "n", "vec")
+
+    def bucket(key: tuple, held: list[tuple]):
+        """All rows of a filter, or of two of its chunks, of which the lesser comes first."""
+        which, dim, i, j = (int(k) for k in key)
+        chunk, node, n, vec = (np.concatenate(x) for x in zip(*held, strict=True))
         if len(node) < 2:
             return
         unit = unit_rows(vec.tolist(), dim)
-        if len(node) <= CHUNK:
-            yield from verify(which, (node, n, unit), None, least)
+        if i == j:
+            yield from verify(which, (node, n, unit), None, least, plans[dim])
             return
-        cuts = [slice(i, i + CHUNK) for i in range(0, len(node), CHUNK)]
-        chunks = [_pack(node[c], n[c], unit[c]) for c in cuts]
-        for i, left in enumerate(chunks):
-            for j in range(i, len(chunks)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([which], pa.int64()), pa.array([dim], pa.int32()), pa.array([left], pa.binary()), pa.array([chunks[j] if j > i else None], pa.binary())], schema=MET)
+        cut = int(np.searchsorted(chunk, j))
+        if 0 < cut < len(node):
+            yield from verify(which, (node[:cut], n[:cut], unit[:cut]), (node[cut:], n[cut:], unit[cut:]), least, plans[dim])
 
     def meet(batches):
         held, last = [], None
         for batch in batches:
-            found, dim, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if not len(found):
+            *key, chunk, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            if not len(node):
                 continue
-            vec = np.array(batch.column(4).to_pylist(), object)
-            new = np.flatnonzero((found[1:] != found[:-1]) | (dim[1:] != dim[:-1])) + 1
-            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(found)], strict=True):
-                if (found[i], dim[i]) != last:
+            vec = np.array(batch.column(7).to_pylist(), object)
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(node)], strict=True):
+                if (now := tuple(k[i] for k in key)) != last:
                     if held:
-                        yield from bucket(int(last[0]), int(last[1]), held)
-                    held, last = [], (found[i], dim[i])
-                held.append((node[i:j], n[i:j], vec[i:j]))
+                        yield from bucket(last, held)
+                    held, last = [], now
+                held.append((chunk[i:j], node[i:j], n[i:j], vec[i:j]))
         if held:
-            yield from bucket(int(last[0]), int(last[1]), held)
-
-    def later(batches):
-        for batch in batches:
-            for which, dim, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from verify(which, _unpack(left, dim), _unpack(right, dim) if right else None, least)
+            yield from bucket(last, held)
 
     met = common.materialize(rows.mapInArrow(common.trimmed(meet), MET_SQL), "met", group)
-    deferred = met.where("left is not null").select("filter", "dim", "left", "right").repartition(parts).mapInArrow(common.trimmed(later), MET_SQL)
-    met = met.where("left is null").union(common.materialize(deferred, "met", group))
     return met.where("b is not null").select("a", "b"), met.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
 
