@@ -1,6 +1,7 @@
 """The cascade against a plain reading of the rules, in any order, and its edge cases."""
 
 import itertools
+import random
 import re
 
 import duckdb
@@ -56,6 +57,17 @@ def test_equals_brute_force_in_any_order(spark):
     assert {x[-1] for x in want} == {True, False}
 
 
+def test_long_texts_by_numbered_words(monkeypatch):
+    """Texts beyond ``LONG`` bytes have the same statistics, cut wherever."""
+    r = random.Random(3)
+    texts = [t for t in TEXTS if t] + [" ".join(r.choice("abcd") for _ in range(n)) for n in (1, 2, 3, 50, 3000)] + [" ".join(f"w{r.randint(0, 300)}" for _ in range(5000))]
+    for long in (1, 7, 1000):
+        monkeypatch.setattr(q, "LONG", long)
+        for t in texts:
+            x = q.Features(t.encode())
+            assert (x.n_words, x.n_repeat_words) == (brute(t)[0], brute(t)[4])
+
+
 def test_each_rule_rejects_what_it_names():
     hit = {r.name: {k for k, t in enumerate(TEXTS) if r.rejects(q.Features(t.encode() if t else None))} for r in q.RULES}
     assert all(hit.values())
@@ -68,6 +80,18 @@ def test_order_is_by_rejections_per_second(spark):
     assert all(a >= b for a, b in itertools.pairwise(gain))
 
 
+def test_order_counts_what_passes_the_base(spark):
+    """Rejections and seconds are those of documents that rules see: none of those that the base fails."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return False
+
+    q.order_rules(frame(spark), (q.Rule("count", count),))
+    assert seen.value == sum(not brute(t)[5] for t in [*TEXTS, TEXTS[3], TEXTS[5]])
+
+
 def test_short_circuit(spark):
     """After the first rule that rejects a document no other sees it."""
     calls = spark.sparkContext.accumulator(0)

@@ -1,22 +1,60 @@
 """Quality rules as a short-circuit cascade.
 
-On a sample each rule is timed alone and its rejections are counted; the rules then run in order of rejections per
-second, and a document meets no rule after the first that rejects it. The order changes the cost, never the verdict.
+On a sample each rule is timed and its rejections are counted, on documents that pass the base and with the base's
+statistics at hand, as when the rules run; they run in order of rejections per second, and a document meets no rule after
+the first that rejects it. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
 
+#: Bytes of a text beyond which its words are numbers, not Python objects.
+LONG = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def word_lists(text: bytes):
+    """The words of ``text``, in lists of about ``LONG`` bytes of it."""
+    at = 0
+    while at < len(text):
+        end = at + LONG
+        if end < len(text):
+            end = m.start() if (m := _SPACE.search(text, end)) else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def _repeat_words(text: bytes) -> int:
+    """``Features.n_repeat_words`` by numbered words and a sort of the windows; 50 bytes or so for each word."""
+    known: dict[bytes, int] = {}
+    w = np.concatenate([np.fromiter((known.setdefault(x, len(known)) for x in words), np.int32, len(words)) for words in word_lists(text)])
+    if len(w) < 3:
+        return 0
+    o = np.lexsort((w[2:], w[1:-1], w[:-2])).astype(np.int32)
+    same = np.ones(len(o) - 1, bool)
+    for k in range(3):
+        same &= w[o[1:] + k] == w[o[:-1] + k]
+    twice = np.zeros(len(o), bool)
+    twice[o[1:][same]] = twice[o[:-1][same]] = True
+    covered = np.zeros(len(w), bool)
+    for k in range(3):
+        covered[k : len(w) - 2 + k] |= twice
+    return int(covered.sum())
+
+
 class Features:
     """What rules ask of a text, each computed when it is first asked for. Words are runs of bytes but ASCII white space."""
 
@@ -29,7 +67,7 @@ class Features:
 
     @cached_property
     def n_words(self) -> int:
-        return len(self.words)
+        return sum(map(len, word_lists(self.text))) if len(self.text) > LONG else len(self.words)
 
     @cached_property
     def word_chars(self) -> int:
@@ -50,6 +88,8 @@ class Features:
     @cached_property
     def n_repeat_words(self) -> int:
         """Words in 3-word windows that occur twice or more."""
+        if len(self.text) > LONG:
+            return _repeat_words(self.text)
         w = self.words
         first: dict[tuple, int] = {}
         covered = set()
@@ -85,32 +125,41 @@ RULES = (
 )
 
 
+#: The statistics that every document has whatever its verdict.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_failed(x: Features) -> bool:
     return x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[tuple[int, int, float]]:
-    """(rule's index, rejections, seconds) in the order to run, from at most ``sample_rows`` rows spread over ``docs``.
+    """(rule's index, rejections, seconds) in the order to run, from about ``sample_rows`` rows spread over ``docs``.
 
-    Each rule is timed on features of its own, so shared work counts for whoever comes first. An empty sample keeps
-    the given order.
+    The sample is what has the least hashes of doc_id and text, so it is the same in each run and comes from everywhere.
+    A rule's seconds are what it adds to the base's statistics, on rows that pass the base. An empty sample keeps the
+    given order.
     """
-    texts = common.columns(docs, "text")
-    n = texts.count()
-    sample = texts.sample(min(1.0, 3 * sample_rows / max(1, n)), seed=1).limit(sample_rows) if n > sample_rows else texts
+    rows = common.columns(docs, "doc_id", "text")
+    n = rows.count()
+    few = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < sample_rows
+    sample = (rows.where(few) if n > sample_rows else rows).select("text")
 
     def measure(batches):
         cost, out = [0.0] * len(rules), [0] * len(rules)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+            for text in batch.column(0).cast(pa.large_binary()):
+                x = Features(text.as_py())
+                if base_failed(x):
+                    continue
+                for name in BASE:
+                    getattr(x, name)
                 for k, rule in enumerate(rules):
-                    x, begin = Features(text), time.perf_counter()
+                    begin = time.perf_counter()
                     out[k] += bool(rule.rejects(x))
                     cost[k] += time.perf_counter() - begin
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(out, pa.int64()), pa.array(cost, pa.float64())], ["rule", "rejected", "seconds"])
 
-    from pyspark.sql import functions as F
-
     got = sample.mapInArrow(common.trimmed(measure), "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds")).collect()
     return sorted((tuple(r) for r in got), key=lambda r: (-r[1] / max(r[2], 1e-9), r[2], r[0])) or [(k, 0, 0.0) for k in range(len(rules))]
 
@@ -124,7 +173,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[int] |
     ordered = [rules[k] for k in order]
 
     def run(batches):
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        names = list(BASE)
         for batch in batches:
             _, at = common.text_bytes(batch.column(1))
             for i, j in common.parts(at, 8 << 20):
