@@ -47,6 +47,17 @@ def test_fingerprints():
         assert simhash.fingerprint(t.encode() if t else b"") == brute_fingerprint(t), t
 
 
+def test_long_texts_in_strips(monkeypatch):
+    """However a text is cut, every shingle counts once."""
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abC") for _ in range(r.randint(1, 9))) for _ in range(n)) + " " * n for n in (1, 2, 3, 7, 400, 3000)]
+    texts += ["x" * 500, "x" * 500 + " y", " " * 90 + "z"]
+    for strip in (1, 10, 37, 1000):
+        monkeypatch.setattr(simhash, "STRIP", strip)
+        for t in texts:
+            assert simhash.fingerprint(t.encode()) == brute_fingerprint(t)
+
+
 def flipped(r, x, n):
     for b in r.sample(range(64), n):
         x ^= 1 << b

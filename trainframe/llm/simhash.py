@@ -9,6 +9,8 @@ where balls of radius 2 over the whole fingerprint would need 2081.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,21 +24,51 @@ BLOCKS = 3
 CHUNK = 4096
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """SimHash over ``width``-word shingles, repeats counted: a bit is set if it is in over half the hashes."""
-    w = text.translate(_LOWER).split()
-    if not w:
-        return 0
-    hash64, one = xxhash.xxh64_intdigest, b" ".join(w)
+#: Bytes of a text that are worked on at a time.
+STRIP = 4 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _strips(text: bytes):
+    """The words of ``text`` in lower case, in lists of about ``STRIP`` bytes of it."""
+    at = 0
+    while at < len(text):
+        end = at + STRIP
+        if end < len(text):
+            end = m.start() if (m := _SPACE.search(text, end)) else len(text)
+        yield text[at:end].translate(_LOWER).split()
+        at = end
+
+
+def _counts(w: list[bytes], width: int) -> tuple[np.ndarray, int]:
+    """Of the hashes of all ``width``-word shingles how many have each bit, and how many there are."""
     n = len(w) - width + 1
-    if n <= 1:
-        return hash64(one, 42)
+    one = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1).tolist()
+    hash64 = xxhash.xxh64_intdigest
     h = np.fromiter([hash64(one[a:b], 42) for a, b in zip([0, *ends], [e - 1 for e in ends[width - 1 :]], strict=False)], np.uint64, n)
-    bits, rest = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), n % 255
-    counts = bits[n - rest :].sum(axis=0, dtype=np.int64)
-    if n > rest:
-        counts = counts + bits[: n - rest].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, n, 255 * 256):  # sums of 255 bits fit a byte
+        bits = np.unpackbits(h[i : i + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rest = len(bits) % 255
+        counts += bits[len(bits) - rest :].sum(axis=0, dtype=np.int64)
+        counts += bits[: len(bits) - rest].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return counts, n
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """SimHash over ``width``-word shingles, repeats counted: a bit is set if it is in over half the hashes.
+
+    Fewer words are one shingle, none is 0. A long text is read in strips, of which each keeps its last words for the next.
+    """
+    counts, n, w = np.zeros(64, np.int64), 0, []
+    for words in _strips(text):
+        w += words
+        if len(w) >= width:
+            more, k = _counts(w, width)
+            counts, n, w = counts + more, n + k, w[len(w) - width + 1 :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(w), 42) if w else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
