@@ -49,6 +49,52 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, segment):
     assert got == brute(docs)
 
 
+def removed(spans, docs):
+    out = {}
+    for row, first, end in spans:
+        out.setdefault(row, set()).update(range(first, end))
+    return out
+
+
+@pytest.mark.parametrize("length", [32, 40, 100, 130])
+def test_plain_and_sampled_doubling(spark, length):
+    """Both cover the same bytes: those that brute force removes."""
+    docs = [(k, t) for k, t in texts() if t]
+    df = spark.createDataFrame(docs, "row long, text string").repartition(3)
+    want, seen = {}, set()
+    for row, text in docs:
+        data = text.encode()
+        for i in range(len(data) - length + 1):
+            if data[i : i + length] in seen:
+                want.setdefault(row, set()).update(range(i, i + length))
+            seen.add(data[i : i + length])
+    for find in (suffix_dedup.repeated_spans, suffix_dedup.plain_spans):
+        assert removed([tuple(r) for r in find(df, length).collect()], docs) == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sorted_ranks(spark, parts):
+    """A class over several ranges has one rank and one first row."""
+    r = random.Random(4)
+    rows = [(r.choice([0, 0, 0, 0, 5, k]), r.randint(0, 1), k) for k in range(500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "x long, y long, id long").repartition(4)
+        got = suffix_dedup.sorted_ranks(df, ["x", "y"], ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    classes = {}
+    for x, y, k in rows:
+        classes.setdefault((x, y), []).append(k)
+    ranks = {}
+    for g in got:
+        same = classes[g.x, g.y]
+        assert g.begins == (g.id == min(same)) and g.alone == (len(same) == 1)
+        assert ranks.setdefault((g.x, g.y), g["rank"]) == g["rank"]
+    assert len(got) == len(rows) and [ranks[k] for k in sorted(ranks)] == sorted(set(ranks.values()))
+
+
 def test_segments_give_each_window_once():
     raw = np.frombuffer(bytes(random.Random(1).choices(range(97, 103), k=5000)), np.uint8)
     whole = suffix_dedup._runs_of(raw, np.array([0, 5000]), 100)

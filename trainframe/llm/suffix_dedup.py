@@ -1,19 +1,24 @@
-"""Exact substring deduplication by distributed prefix doubling over sampled positions.
-
-Plain prefix doubling sorts a row for every byte in every round, here many times the input. Instead the positions are
-sampled by content (the least hash of K bytes in each window of ``length`` bytes), so equal windows have the same sampled
-position inside. A sampled position stands for the run of windows that chose it. The rounds:
-
-  1. offset K: runs are ranked by the K bytes at their position; a run alone in its class is unique and ends.
-  2. the whole run: the pair (rank at K, hash of all bytes that the run's windows cover) is the next rank. Of equal runs
-     only the first goes on; all windows of the others start earlier too. A run whose class at K has no other next rank
-     is unique but for its copies and ends.
-  3. offsets half way to ``length`` on either side: a window reaches half of ``length - K`` bytes beyond the K bytes to the
-     left or to the right. A run that shares neither its left nor its right half with another run of its class ends.
-  4. offset ``length``: what is left are runs at the edges of repeated passages. Their windows are ranked one by one by
-     all their bytes; all but the first of a class start earlier too.
-
-Rows of one rank need not meet in one task: a task first drops all but the first of equal runs among its own rows.
+"""Exact substring deduplication by distributed prefix doubling, over sampled positions.
+
+The doubling: a position's rank for ``s`` bytes, paired with the rank of what follows them, sorts positions by more
+bytes; ranks are places in Spark's sort of the pairs (``sorted_ranks``), and positions alone in their class drop out before
+the next, wider round, until ``length`` bytes are ranked. ``plain_spans`` does that for every byte, from 8 to 16, 32, 64
+and 100 bytes. It sorts a row for each byte and is many times the input, so ``repeated_spans`` lets only those positions
+in that can repeat. Content chooses them (the least hash of K bytes in each window of ``length`` bytes), so equal windows
+have the same sampled position inside. A sampled position stands for the run of windows that chose it. Its rounds:
+
+  1. K bytes, and the whole run: pairs (name of the K bytes at the position, name of all bytes that the run's windows
+     cover) are sorted. A run alone in its class of K bytes is unique and ends. Of equal runs only the first goes on; all
+     windows of the others start earlier too. A run whose class has no other name is unique but for its copies and ends.
+  2. half way to ``length`` on either side: a window reaches half of ``length - K`` bytes beyond the K bytes to the left
+     or to the right. A run that shares neither its left nor its right half with another run of its class ends.
+  3. 64 bytes (and so on, doubling): what is left are windows at the edges of repeated passages, a row each. Pairs (name of
+     K bytes, name of the next K) are sorted; windows alone in their class end.
+  4. ``length``, as the overlapped last step: pairs (rank for 64 bytes, names of the last 64) are sorted, and all but the
+     first of each class start earlier too.
+
+In 1, rows of one rank need not meet in one task: a task first drops all but the first of equal runs among its own rows.
+In 3 and 4 a class may lie in several ranges of the sort.
 """
 
 from __future__ import annotations
@@ -243,52 +248,134 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
     left = left.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("windows"))
     left = common.materialize(left, "edges", group)
 
-    def _batch(digests: list[bytes], rows: list[int], firsts: list[int]) -> pa.RecordBatch:
-        k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        row, first = np.array(rows, np.int64), np.array(firsts, np.int64)
-        o = np.lexsort((first, row, k[:, 1], k[:, 0]))
-        k1, k2, row, first = k[o, 0], k[o, 1], row[o], first[o]
-        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(row), pa.array(np.where(_again(k1, k2), -1 - first, first))], ["k1", "k2", "row", "first"])
+    offsets, size = names_of(length)
+    first_names, last_names = [f"a{k}" for k in range(len(offsets))], [f"b{k}" for k in range(len(offsets))]
 
     def windows(batches):
-        digest = xxhash.xxh3_128_digest
+        """Each window of the edges with the names of its first ``size`` bytes and of its last, K bytes each."""
         for batch in batches:
-            digests, rows, firsts = [], [], []
             for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = memoryview(text.as_buffer())
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
                 for s in spans:
-                    digests += [digest(data[a : a + length]) for a in range(s["first"], s["end"])]
-                    rows += [row] * (s["end"] - s["first"])
-                    firsts += range(s["first"], s["end"])
-                if len(digests) > 200_000:
-                    yield _batch(digests, rows, firsts)
-                    digests, rows, firsts = [], [], []
-            if digests:
-                yield _batch(digests, rows, firsts)
-
-    def last_rank(batches):
-        """Windows in order of their bytes' digest and place: spans of all but the first."""
-        before = None
-        for batch in batches:
-            k1, k2, row, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            known = first < 0
-            if known.any():
-                yield _spans(row[known], -1 - first[known], -1 - first[known] + length).select(["row", "first", "end"])
-                k1, k2, row, first = (x[~known] for x in (k1, k2, row, first))
-            if not len(k1):
-                continue
-            same = _again(k1, k2)
-            same[0] = before == (k1[0], k2[0])
-            before = (k1[-1], k2[-1])
-            yield _spans(row[same], first[same], first[same] + length).select(["row", "first", "end"])
+                    for lo in range(s["first"], s["end"], SEGMENT):
+                        hi = min(s["end"], lo + SEGMENT)
+                        h = rank_hashes(raw[lo : hi + length - 1]).view(np.int64)
+                        at = np.arange(hi - lo)
+                        cols = [h[at + o] for o in offsets] + [h[at + length - size + o] for o in offsets]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, row)), pa.array(at + lo), *map(pa.array, cols)], ["row", "first", *first_names, *last_names])
 
     bytes_of = texts.withColumn("text", F.col("text").cast("binary")).join(left, "row").select("row", "text", "windows")
-    ranked = bytes_of.mapInArrow(common.trimmed(windows), "k1 long, k2 long, row long, first long")
-    key = F.when(F.col("first") < 0, F.xxhash64("row", "first")).otherwise(F.xxhash64("k1", "k2"))
-    again = ranked.repartition(n, key).sortWithinPartitions("k1", "k2", "row", "first").mapInArrow(common.trimmed(lambda batches: _merge(last_rank(batches))), SPAN)
+    ranked = bytes_of.mapInArrow(common.trimmed(windows), ", ".join(f"{c} long" for c in ["row", "first", *first_names, *last_names]))
+    ranked = common.materialize(ranked, "windows", group).withColumnRenamed("a0", "rank_")
+    done = 1  # names that the rank stands for: the rank of K bytes is their name
+    while done < len(offsets):
+        more = first_names[done : 2 * done]
+        ranked = sorted_ranks(ranked, ["rank_", *more], ["row", "first"], group).where("not alone")
+        ranked = ranked.select("row", "first", F.col("rank").alias("rank_"), *first_names[2 * done :], *last_names)
+        done *= 2
+    ranked = sorted_ranks(ranked, ["rank_", *last_names], ["row", "first"], group)
+    again = ranked.where("not begins").select("row", "first", (F.col("first") + length).alias("end")).mapInArrow(common.trimmed(_merge), SPAN)
     return got.where("rank is null").select("row", "first", "end").mapInArrow(common.trimmed(_merge), SPAN).union(again)
 
 
+def names_of(length: int) -> tuple[list[int], int]:
+    """Offsets of the K-byte names of the largest power of two times K bytes up to ``length``, and that size."""
+    size = K
+    while 2 * size <= length:
+        size *= 2
+    return list(range(0, size, K)), size
+
+
+def sorted_ranks(df: DataFrame, key: list[str], tie: list[str], group: str = "") -> DataFrame:
+    """``df`` with rank (long, the same for equal ``key``, in its order), begins (first of its class by ``tie``) and alone.
+
+    Rows are sorted by key and tie over ranges, so a class of any size may lie in several of them. Ranges number their
+    own classes; where a range begins with the class that one before it ends with, it takes over that one's rank. What
+    the driver sees is one row for each range.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *key, *tie).sortWithinPartitions(*key, *tie)
+    names = df.columns
+    at = [names.index(k) for k in key]
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        part, count, last, held = TaskContext.get().partitionId(), -1, None, None
+
+        def out(batch, local, begins, alone):
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(local), part)), pa.array(local), pa.array(begins), pa.array(alone)], [*names, "part", "local", "begins", "alone"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in at]
+            begins = np.ones(batch.num_rows, bool)
+            begins[1:] = ~_again(*cols)[1:]
+            begins[0] = last != tuple(c[0] for c in cols)
+            if held is not None:  # the last row of the batch before now knows whether its class goes on
+                yield out(held[0], held[1], held[2], held[2] & begins[:1])
+            local = count + np.cumsum(begins)
+            alone = begins.copy()
+            alone[:-1] &= begins[1:]
+            if batch.num_rows > 1:
+                yield out(batch[:-1], local[:-1], begins[:-1], alone[:-1])
+            held = batch[-1:], local[-1:], begins[-1:]
+            count, last = int(local[-1]), tuple(c[-1] for c in cols)
+        if held is not None:
+            yield out(held[0], held[1], held[2], held[2])
+
+    fields = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    found = common.materialize(rows.mapInArrow(common.trimmed(number), f"{fields}, part long, local long, begins boolean, alone boolean"), "sorted", group)
+    values = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)))
+    ranges = found.groupBy("part").agg(F.min(values).alias("low"), F.max(values).alias("high"), F.max("local").alias("last")).orderBy("part").collect()
+    into, goes_on, before = {}, {}, None
+    for r in ranges:
+        if before is not None and before.high == r.low:
+            into[r.part] = into[before.part] if before.part in into and not before.last else before.part << 40 | before.last
+            goes_on[before.part] = before.last
+        before = r
+
+    def looked_up(table: dict, c: str):
+        return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)).cast("map<long,long>"), F.col(c)) if table else F.lit(None).cast("long")
+
+    carried = F.when(F.col("local") == 0, looked_up(into, "part"))
+    rank = F.coalesce(carried, F.shiftleft("part", 40).bitwiseOR(F.col("local")))
+    continues = F.coalesce(looked_up(goes_on, "part") == F.col("local"), F.lit(False))
+    return found.select(*names, rank.alias("rank"), (F.col("begins") & carried.isNull()).alias("begins"), (F.col("alone") & carried.isNull() & ~continues).alias("alone"))
+
+
+def plain_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
+    """What ``repeated_spans`` returns, by prefix doubling over every byte of ``texts`` (row, text).
+
+    A row for each position goes through a sort and a join in each round; kept as the method in its plain form, for
+    comparison.
+    """
+    if length < 16:
+        raise ValueError("length is at least 16")
+
+    def positions(batches):
+        for batch in batches:
+            raw, at = common.text_bytes(batch.column(1))
+            for row, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for lo in range(a, b - 7, SEGMENT):
+                    piece = np.ascontiguousarray(raw[lo : min(b, lo + SEGMENT + 7)])
+                    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(piece, 8)).view(">i8").ravel().astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(eight), row)), pa.array(np.arange(lo - a, lo - a + len(eight))), pa.array(eight)], ["row", "at", "rank_"])
+
+    ranked, size = texts.mapInArrow(common.trimmed(positions), "row long, at long, rank_ long"), 8
+    while size < length:
+        step = min(size, length - size)  # the last step overlaps
+        after = ranked.select("row", (F.col("at") - step).alias("at"), F.col("rank_").alias("next"))
+        pairs = common.materialize(ranked.join(after, ["row", "at"]), "pairs", group)
+        size += step
+        ranked = sorted_ranks(pairs, ["rank_", "next"], ["row", "at"], group)
+        if size < length:  # a position that is unique here is unique in every wider round
+            ranked = ranked.where("not alone").select("row", "at", F.col("rank").alias("rank_"))
+    return ranked.where("not begins").select("row", F.col("at").alias("first"), (F.col("at") + length).alias("end"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the union of [first, end) spans."""
     out: list[list[int]] = []
