@@ -76,7 +76,7 @@ def test_scores_equal_brute_force(spark, most):
     assert len(got) == len(HELD)
     for k, t in enumerate(HELD):
         want = brute.score(t)
-        assert got[k] is None if want is None else got[k] == pytest.approx(want, rel=1e-5), t
+        assert got[k] is None if want is None else got[k] == pytest.approx(want, rel=1e-12), t
 
 
 def test_pieces_of_long_texts(monkeypatch):

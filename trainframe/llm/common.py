@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,10 +25,12 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary folder is made and named there.
+    Only where a local session names none (as in tests) a temporary folder is made and named there; a cluster must name it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="trainframe-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = "file://" + path
@@ -36,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str, group: str = "") -> str:
-    """A new place in the shared folder; ``release(spark, group)`` deletes what was put there."""
+    """A new place in the shared folder; ``release(spark, group)`` deletes what was put there, or else the driver's exit."""
+    if not _written:
+        atexit.register(_forget)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     _written.setdefault(group, []).append(path)
     return path
@@ -47,6 +52,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _forget() -> None:
+    """When the driver ends: delete what no ``release`` has."""
+    spark = SparkSession.getActiveSession()
+    for paths in _written.values():
+        for path in paths:
+            try:
+                if path.startswith("file:"):
+                    shutil.rmtree(filesystem(path)[1], ignore_errors=True)
+                elif spark is not None:
+                    delete(spark, path)
+            except Exception:  # noqa: BLE001  the session may have ended before
+                return
+
+
 def release(spark: SparkSession, group: str) -> None:
     """Delete the tables that ``group`` has written, once nothing reads them any more."""
     for path in _written.pop(group, []):

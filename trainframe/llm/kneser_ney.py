@@ -107,12 +107,12 @@ def train(texts: DataFrame, group: str = "") -> DataFrame:
 
 
 class Lookup:
-    """A hash table of numpy arrays from long keys to floats."""
+    """A hash table of numpy arrays from long keys to doubles."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - (size.bit_length() - 1)), np.int64(size - 1)
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float64)
         at, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             slot = at[left]
