@@ -87,7 +87,7 @@ def test_shards_and_appends(spark, tmp_path):
     assert files.count_rows(spark, str(tmp_path / "a.jsonl")) == 50
     assert [len(b) for b in files.batches(df, 10)] == [10, 10, 5]
     files.save(df, str(tmp_path / "p.parquet"))
-    assert len({(r._rid.file, r._rid.row) for r in files.with_ordinal(files.load(spark, str(tmp_path / "p.parquet"))).collect()}) == 25
+    assert len({r._rid for r in files.with_ordinal(files.load(spark, str(tmp_path / "p.parquet"))).collect()}) == 25
 
 
 SPEC = """

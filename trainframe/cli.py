@@ -9,6 +9,7 @@ import sys
 from .dataset import Dataset
 from .functions.expr import ExprError
 from .functions.paths import PathError
+from .functions.values import ORDINAL
 from .operators import sets, validate
 
 #: Exit codes: fine, failed, wrong use, no such input, data not valid.
@@ -97,7 +98,7 @@ def execute(spark, args: argparse.Namespace):
             return d.concat(*map(load, args.others), strict=args.strict).df
         case "diff":
             other = load(args.other)
-            return sets.diff_rows(d.df, other.df, args.key, d.order, other.order) if args.key else sets.diff(d.df, other.df)
+            return sets.diff_rows(d._rows, other._rows, args.key, d.order, other.order) if args.key else sets.diff(d.df, other.df)
         case "transform":
             return d.transform(args.preset).df
         case "export":
@@ -105,7 +106,7 @@ def execute(spark, args: argparse.Namespace):
         case "split":
             from .operators.order import ratios, split
 
-            return split(d.df, ratios(args.ratio), d.order, args.seed)
+            return split(d._rows, ratios(args.ratio), d.order, args.seed).drop(ORDINAL)
         case "stats":
             return d.stats()
         case "profile":

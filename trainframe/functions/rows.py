@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import as_text
+from .values import ORDINAL, as_text
 
 TURN = "struct<role:string,content:string,reasoning:string,calls:array<struct<name:string,arguments:string>>,call_id:string>"
 _SHORT = {"system": "sys", "user": "u", "human": "u", "assistant": "a", "gpt": "a", "tool": "t", "observation": "t", "function_call": "a"}
@@ -155,7 +155,7 @@ def _texts(c: Column, t: T.DataType) -> Column:
 
 def fulltext(schema: T.StructType) -> Column:
     """All values of the row without their names, a line each."""
-    return F.array_join(F.concat(*(_texts(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields)), "\n")
+    return F.array_join(F.concat(*(_texts(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields if f.name != ORDINAL)), "\n")
 
 
 def search(schema: T.StructType, pattern: str) -> Column:

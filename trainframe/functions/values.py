@@ -8,8 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What Python's str.strip takes off; Spark's trim takes spaces only.
-_WHITE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+#: What Python's str.strip takes off; Spark's trim takes spaces only unless it is told.
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+#: The hidden column of a row's place in its input, a text that sorts in that order.
+ORDINAL = "_rid"
 
 
 @dataclass
@@ -55,7 +58,7 @@ def truthy(c: Column, t: T.DataType) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_WHITE}|{_WHITE}$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def is_empty(c: Column, t: T.DataType) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import path_value
+from ..sources.shared import written
 from .joins import first_rows
 
 #: Up to so many open pairs of near-duplicates are settled in order on the driver; more are settled in rounds.
@@ -85,11 +84,8 @@ def similar_pairs(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: in the shared folder, or a temporary one where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp())
-    return df.checkpoint()
+    """``df`` written to the shared folder, so that its lineage ends there."""
+    return written(df, "similar")
 
 
 def _dropped(pairs: DataFrame) -> DataFrame:

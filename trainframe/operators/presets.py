@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rows import turns_array
-from ..functions.values import truthy
+from ..functions.values import ORDINAL, truthy
 
 MESSAGE = "struct<role:string,content:string>"
 TO_SHAREGPT = {"system": "system", "user": "human", "assistant": "gpt", "tool": "observation"}
@@ -65,6 +65,11 @@ def messages_of(schema: T.StructType, user: str | None = None, assistant: str |
     return F.coalesce(*options)
 
 
+def _out(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """The columns of a layout, and the hidden place of its rows where they have one."""
+    return df.select(*cols, *([ORDINAL] if ORDINAL in df.columns else []))
+
+
 def _kept(df: DataFrame, test: Column, strict: bool) -> DataFrame:
     return df.where(F.when(~test, F.raise_error(F.lit("a row's layout is not known"))).otherwise(F.lit(True))) if strict else df.where(test)
 
@@ -74,7 +79,7 @@ def openai_chat(df: DataFrame, user_field: str | None = None, assistant_field: s
     m = messages_of(df.schema, user_field, assistant_field)
     if system_prompt:
         m = F.when(F.try_element_at(m, F.lit(1)).role == "system", m).otherwise(F.concat(F.array(message("system", F.lit(system_prompt))), m))
-    return _kept(df, m.isNotNull(), strict).select(m.alias("messages"))
+    return _out(_kept(df, m.isNotNull(), strict), m.alias("messages"))
 
 
 def _first(m: Column, role: str) -> Column:
@@ -85,10 +90,10 @@ def alpaca(df: DataFrame, strict: bool = False) -> DataFrame:
     """-> instruction, input, output: the first of each side of a conversation."""
     if _has(df.schema, "instruction", "output"):
         extra = F.coalesce(_text("input"), F.lit("")) if "input" in df.columns else F.lit("")
-        return _kept(df, _present(df.schema, "instruction", "output"), strict).select("instruction", extra.alias("input"), "output")
+        return _out(_kept(df, _present(df.schema, "instruction", "output"), strict), "instruction", extra.alias("input"), "output")
     m = messages_of(df.schema)
     a, b = _first(m, "user"), _first(m, "assistant")
-    return _kept(df, a.isNotNull() & b.isNotNull(), strict).select(a.alias("instruction"), F.lit("").alias("input"), b.alias("output"))
+    return _out(_kept(df, a.isNotNull() & b.isNotNull(), strict), a.alias("instruction"), F.lit("").alias("input"), b.alias("output"))
 
 
 def sharegpt(df: DataFrame, roles: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
@@ -98,14 +103,14 @@ def sharegpt(df: DataFrame, roles: dict[str, str] | None = None, strict: bool =
     if said is None:
         m = messages_of(df.schema)
         turns = F.transform(m, lambda t: F.struct(_map(t.role, table).alias("from"), t.content.alias("value")))
-        return _kept(df, m.isNotNull(), strict).select(turns.alias("conversations"))
+        return _out(_kept(df, m.isNotNull(), strict), turns.alias("conversations"))
 
     def one(t: Column) -> Column:
         text = F.struct(_map(_map(t.role, FROM_SHAREGPT), table).alias("from"), t.content.alias("value"))
         called = F.transform(t.calls, lambda k: F.struct(F.lit("function_call").alias("from"), F.to_json(F.struct(k["name"].alias("name"), k.arguments.alias("arguments"))).alias("value")))
         return F.when(F.size(t.calls) == 0, F.array(text)).when(t.content == "", called).otherwise(F.concat(F.array(text), called))
 
-    return _kept(df, said.isNotNull(), strict).select(F.flatten(F.transform(said, one)).alias("conversations"))
+    return _out(_kept(df, said.isNotNull(), strict), F.flatten(F.transform(said, one)).alias("conversations"))
 
 
 def sharegpt_to_messages(df: DataFrame) -> DataFrame:
@@ -138,13 +143,13 @@ def sharegpt_to_messages(df: DataFrame) -> DataFrame:
 
 def dpo_pair(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected", strict: bool = False) -> DataFrame:
     test = _present(df.schema, prompt, chosen, rejected)
-    return _kept(df, test, strict).select(_text(prompt).alias("prompt"), _text(chosen).alias("chosen"), _text(rejected).alias("rejected"))
+    return _out(_kept(df, test, strict), _text(prompt).alias("prompt"), _text(chosen).alias("chosen"), _text(rejected).alias("rejected"))
 
 
 def simple_qa(df: DataFrame, strict: bool = False) -> DataFrame:
     m = messages_of(df.schema)
     a, b = _first(m, "user"), _first(m, "assistant")
-    return _kept(df, a.isNotNull() & b.isNotNull(), strict).select(a.alias("question"), b.alias("answer"))
+    return _out(_kept(df, a.isNotNull() & b.isNotNull(), strict), a.alias("question"), b.alias("answer"))
 
 
 PRESETS = {"openai_chat": openai_chat, "alpaca": alpaca, "sharegpt": sharegpt, "dpo_pair": dpo_pair, "simple_qa": simple_qa}
@@ -169,7 +174,7 @@ def to_openai_batch(df: DataFrame, model: str, order: list[str], id_field: str |
     else:
         custom = _text(id_field)
     body = F.struct(F.lit(model).alias("model"), m.alias("messages"))
-    return df.select(custom.alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))
+    return _out(df, custom.alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))
 
 
 def from_openai_batch(df: DataFrame) -> DataFrame:
@@ -179,7 +184,7 @@ def from_openai_batch(df: DataFrame) -> DataFrame:
 
 
 def to_hf_chat(df: DataFrame, add_generation_prompt: bool = False) -> DataFrame:
-    out = df.select(messages_of(df.schema).alias("messages"))
+    out = _out(df, messages_of(df.schema).alias("messages"))
     return out.withColumn("add_generation_prompt", F.lit(True)) if add_generation_prompt else out
 
 
@@ -203,12 +208,12 @@ def to_llama_factory(df: DataFrame) -> DataFrame:
     system, m = _split_system(messages_of(df.schema))
     pairs = _pairs(m)
     last = F.try_element_at(pairs, F.lit(-1))
-    return df.select(last[0].alias("instruction"), F.lit("").alias("input"), last[1].alias("output"), F.coalesce(system, F.lit("")).alias("system"), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))).alias("history"))
+    return _out(df, last[0].alias("instruction"), F.lit("").alias("input"), last[1].alias("output"), F.coalesce(system, F.lit("")).alias("system"), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))).alias("history"))
 
 
 def to_llama_factory_sharegpt(df: DataFrame) -> DataFrame:
     system, m = _split_system(messages_of(df.schema))
-    return df.select(F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"), F.coalesce(system, F.lit("")).alias("system"))
+    return _out(df, F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"), F.coalesce(system, F.lit("")).alias("system"))
 
 
 def _media(df: DataFrame, *names: str) -> list[Column]:
@@ -226,36 +231,36 @@ def to_llama_factory_vlm(df: DataFrame) -> DataFrame:
     def last(role: str) -> Column:
         return F.coalesce(F.try_element_at(F.filter(m, lambda t: t.role == role), F.lit(-1)).content, F.lit(""))
 
-    return df.select(last("user").alias("instruction"), F.lit("").alias("input"), last("assistant").alias("output"), *_media(df, "images", "videos"))
+    return _out(df, last("user").alias("instruction"), F.lit("").alias("input"), last("assistant").alias("output"), *_media(df, "images", "videos"))
 
 
 def to_llama_factory_vlm_sharegpt(df: DataFrame) -> DataFrame:
     system, m = _split_system(messages_of(df.schema))
-    return df.select(F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"), F.coalesce(system, F.lit("")).alias("system"), *_media(df, "images", "videos"))
+    return _out(df, F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"), F.coalesce(system, F.lit("")).alias("system"), *_media(df, "images", "videos"))
 
 
 def to_axolotl(df: DataFrame) -> DataFrame:
     m = messages_of(df.schema)
-    return df.select(F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"))
+    return _out(df, F.transform(m, lambda t: F.struct(_map(t.role, TO_SHAREGPT).alias("from"), t.content.alias("value"))).alias("conversations"))
 
 
 def to_swift_messages(df: DataFrame, system: str | None = None) -> DataFrame:
     m = messages_of(df.schema)
     if system:
         m = F.when(F.try_element_at(m, F.lit(1)).role == "system", m).otherwise(F.concat(F.array(message("system", F.lit(system))), m))
-    return df.select(m.alias("messages"))
+    return _out(df, m.alias("messages"))
 
 
 def to_swift_query_response(df: DataFrame) -> DataFrame:
     system, m = _split_system(messages_of(df.schema))
     pairs = _pairs(m)
     last = F.try_element_at(pairs, F.lit(-1))
-    return df.select(last[0].alias("query"), last[1].alias("response"), F.coalesce(system, F.lit("")).alias("system"), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))).alias("history"))
+    return _out(df, last[0].alias("query"), last[1].alias("response"), F.coalesce(system, F.lit("")).alias("system"), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))).alias("history"))
 
 
 def to_swift_vlm(df: DataFrame) -> DataFrame:
     m = F.filter(messages_of(df.schema), lambda t: t.role.isin("user", "assistant", "system"))
-    return df.select(m.alias("messages"), *_media(df, "images", "videos"))
+    return _out(df, m.alias("messages"), *_media(df, "images", "videos"))
 
 
 CONVERTERS = {"llama-factory": to_llama_factory, "llama-factory-sharegpt": to_llama_factory_sharegpt, "llama-factory-vlm": to_llama_factory_vlm, "llama-factory-vlm-sharegpt": to_llama_factory_vlm_sharegpt, "axolotl": to_axolotl, "swift-messages": to_swift_messages, "swift-query-response": to_swift_query_response, "swift-vlm": to_swift_vlm, "hf-chat": to_hf_chat}

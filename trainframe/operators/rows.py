@@ -138,18 +138,20 @@ def explode_rows(df: DataFrame, field: str, as_: str | None = None, index_as: st
 def map_python(df: DataFrame, f: Callable[[dict], dict | Iterable[dict] | None], schema: T.StructType | str, on_error: str = "raise", flat: bool = False) -> DataFrame:
     """Any Python function of a row as a dict, fed by Arrow batches: its result, its results (``flat``), None for no row.
 
-    on_error: raise, skip (no row), null (a row of nulls) or keep (the row itself, if ``schema`` fits).
+    on_error: raise, skip (no row), null (a row of nulls) or keep (the row itself, if ``schema`` fits). Values are those
+    of the columns' types: whole numbers stay whole beside nulls.
     """
     if on_error not in ("raise", "skip", "null", "keep"):
         raise ValueError(f"on_error is raise, skip, null or keep, not {on_error!r}")
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [x.name for x in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields]
+    made = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out: list[dict] = []
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     got = f(row)
                     out += [] if got is None else list(got) if flat else [got]
@@ -157,9 +159,11 @@ def map_python(df: DataFrame, f: Callable[[dict], dict | Iterable[dict] | None],
                     if on_error == "raise":
                         raise
                     out += {"skip": [], "null": [{}], "keep": [row]}[on_error]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names)
+            for k in range(0, len(out), 10_000):
+                some = out[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(x.name) for r in some], x.type) for x in made], schema=made)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def filter_python(df: DataFrame, f: Callable[[dict], bool], on_error: str = "raise") -> DataFrame:

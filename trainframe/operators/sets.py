@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import path_value
+from ..functions.values import ORDINAL
 
 
 class FieldMismatch(ValueError):
@@ -48,7 +49,7 @@ def concat(*frames: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def _row(df: DataFrame) -> Column:
-    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns) if c != ORDINAL)), {"ignoreNullFields": "false"})
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

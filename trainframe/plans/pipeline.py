@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ExprError, parse
 from ..functions.tokens import token_filter
+from ..functions.values import ORDINAL
 from ..operators import aggregate, dedupe, joins, order, presets, rows
 from ..sources import files
 from ..streaming.operators import check
@@ -73,10 +74,13 @@ def validate(spec: dict) -> list[str]:
 
 
 def build(df: DataFrame, spec: dict) -> DataFrame:
-    """The plan of all steps over ``df``; ``order`` names the columns that order and identify its rows."""
+    """The plan of all steps over ``df``; ``order`` names the columns that order and identify its rows.
+
+    Without it rows have the order of their files, if ``df`` was loaded with their hidden place.
+    """
     if errors := validate(spec):
         raise PipelineError("; ".join(errors))
-    by: list[str] = spec.get("order") or []
+    by: list[str] = spec.get("order") or [ORDINAL]
     for s in map(normalized, spec["steps"]):
         kind, o = s["type"], {k: v for k, v in s.items() if k != "type"}
         check(df, kind)
@@ -93,7 +97,8 @@ def _step(df: DataFrame, kind: str, o: dict[str, Any], by: list[str], spec: dict
             wheres = o["where"] if isinstance(o["where"], list) else [o["where"]]
             return rows.filter_rows(df, *wheres, strict=o.get("strict", False))
         case "select":
-            return rows.select_rows(df, o["spec"], o.get("strict", False))
+            spec_ = o["spec"] + f", {ORDINAL}" if ORDINAL in df.columns else o["spec"]
+            return rows.select_rows(df, spec_, o.get("strict", False))
         case "map":
             return rows.map_rows(df, o["code"], o.get("strict", False))
         case "explode":
@@ -128,6 +133,8 @@ def _step(df: DataFrame, kind: str, o: dict[str, Any], by: list[str], spec: dict
             for k in ("keep", "drop", "reorder", "drop_empty"):
                 if isinstance(o.get(k), str):
                     o[k] = [x.strip() for x in o[k].split(",")]
+            if o.get("keep") and ORDINAL in df.columns:
+                o["keep"] = [*o["keep"], ORDINAL]
             return rows.clean(df, **o)
         case "tokens":
             return token_filter(df, o["fields"], o.get("min"), o.get("max"))
@@ -145,7 +152,8 @@ def run(spark: SparkSession, path: str, source: str | None = None, target: str |
 
     with open(path, encoding="utf-8") as f:
         spec = yaml.safe_load(f)
-    df = build(files.load(spark, source or spec["input"]), spec)
+    read = files.load if spec.get("order") else files.load_ordered
+    df = build(read(spark, source or spec["input"]), spec).drop(ORDINAL)
     if out := target or spec.get("output"):
         if "split" in df.columns and normalized(spec["steps"][-1])["type"] == "split":
             for name in order.split_names(len(order.ratios(str(spec["steps"][-1]["ratio"])))):

@@ -12,6 +12,8 @@ from .functions import text as textfn
 from .functions import tokens
 from .functions.paths import path_column
 from .operators import aggregate, dedupe, joins, order, presets, rows, sets, validate
+from .sources import files
+from .sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,9 +82,10 @@ def filter_or(spark, d):
     return rows.filter_rows(table(spark, d, "events"), "x.value is not None and x.value > 50 or x.event_type == 'error'").select("event_id")
 
 
-@query("SELECT 0::BIGINT AS failed, count(*) AS total FROM lineitem")
+@query("SELECT count(*) FILTER (l_linenumber = 1) AS failed, count(*) AS total FROM lineitem")
 def filter_failures(spark, d):
-    return rows.count_failures(table(spark, d, "lineitem"), "x.l_quantity > 10")
+    """Division by zero fails on a row."""
+    return rows.count_failures(table(spark, d, "lineitem"), "x.l_quantity / (x.l_linenumber - 1) > 10")
 
 
 @query(CHATS + "SELECT conv_id FROM c WHERE len(list_filter(m, lambda t: t.role = 'assistant' AND length(t.content) > 300)) > 0")
@@ -245,9 +248,9 @@ def wildcard_profile(spark, d):
     return aggregate.wildcard_profile(chats(spark, d), "messages[*].role")
 
 
-@query("""SELECT 'x.value' AS expr, count(value) AS n, count(*) - count(value) AS nulls, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99 FROM events""")
+@query("""SELECT 'x.value' AS expr, count(value) AS n, count(*) - count(value) AS nulls, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99 FROM events""")
 def describe(spark, d):
-    return aggregate.describe(table(spark, d, "events"), ["x.value"]).withColumns({c: F.round(c, 3) for c in ("mean", "std")})
+    return aggregate.describe(table(spark, d, "events"), ["x.value"])
 
 
 @query("""WITH s AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM documents), b AS (SELECT least(floor((n_chars - lo) / ((hi - lo) / 8)), 7)::INT AS bin, count(*) AS count FROM documents, s GROUP BY 1)
@@ -318,14 +321,33 @@ def slice_rows(spark, d):
     return order.slice_rows(table(spark, d, "documents").select("doc_id"), -20, -5, ["doc_id"])
 
 
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id")
 def shuffle(spark, d):
-    return order.shuffle(table(spark, d, "documents").select("doc_id"), ["doc_id"]).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    """All rows with their columns; in another order than they came, which the test of operators looks at."""
+    return order.shuffle(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"])
 
 
-@query("SELECT 100::BIGINT AS n, 100::BIGINT AS ids")
+@query("""SELECT 100::BIGINT AS n, 100::BIGINT AS ids, 0::BIGINT AS strange, true AS again, true AS another""")
 def sample(spark, d):
-    return order.sample(table(spark, d, "documents").select("doc_id"), 100, ["doc_id"]).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    """Of 100 rows: how many and how many distinct, how many that the table lacks; reruns agree, other seeds do not."""
+    x = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    one = order.sample(x, 100, ["doc_id"]).select("*", F.lit(1).alias("k"))
+    twice = one.union(order.sample(x, 100, ["doc_id"]).select("*", F.lit(2))).union(order.sample(x, 100, ["doc_id"], seed=7).select("*", F.lit(3)))
+    known = x.withColumn("there", F.lit(True))
+    seen = twice.groupBy("doc_id", "lang", "n_chars").agg(F.collect_set("k").alias("k")).join(known, ["doc_id", "lang", "n_chars"], "left")
+    first, same = F.array_contains("k", 1), F.array_contains("k", 1) == F.array_contains("k", 2)
+    return seen.agg(F.count_if(first).alias("n"), F.count_distinct(F.when(first, F.col("doc_id"))).alias("ids"), F.count_if(F.col("there").isNull()).alias("strange"), F.bool_and(same).alias("again"), (F.count_if(first & ~F.array_contains("k", 3)) > 0).alias("another"))
+
+
+#: What tells one row of lineitem from another; several share order and line number.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+
+
+@query("SELECT count(*) // 3 AS rows, count(*) // 3 AS ids FROM lineitem")
+def sample_many(spark, d):
+    """A third of all rows: exactly so many, all distinct."""
+    x, keys = table(spark, d, "lineitem"), LINE
+    return order.sample(x, x.count() // 3, keys).agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("ids"))
 
 
 @query("""WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS k, count(*) OVER () AS groups, sum(n) OVER () AS total FROM g),
@@ -345,6 +367,17 @@ def split_sizes(spark, d):
     return order.split(table(spark, d, "documents").select("doc_id"), [0.8, 0.1, 0.1], ["doc_id"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
+@query("""WITH n AS (SELECT count(*) AS t FROM lineitem)
+SELECT unnest(['train', 'val', 'test']) AS split, unnest([floor(0.8 * t), floor(0.1 * t), t - floor(0.8 * t) - floor(0.1 * t)])::BIGINT AS n, unnest([floor(0.8 * t), floor(0.1 * t), t - floor(0.8 * t) - floor(0.1 * t)])::BIGINT AS ids FROM n""")
+def split_lineitem(spark, d):
+    """Every part read on its own with other columns: exact sizes, and no row in two parts."""
+    whole = order.split(table(spark, d, "lineitem"), [0.8, 0.1, 0.1], LINE)
+    parts = [whole.where(F.col("split") == n).select(*LINE, "split", *more) for n, more in (("train", []), ("val", ["l_tax"]), ("test", ["l_shipdate", "l_quantity"]))]
+    rows_ = [p.select(*LINE, "split") for p in parts]
+    once = rows_[0].union(rows_[1]).union(rows_[2]).groupBy(*LINE).agg(F.min("split").alias("split"), F.count("*").alias("n"))
+    return once.groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("ids"))
+
+
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(0.7 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents")
 def split_in_order(spark, d):
     return order.split(table(spark, d, "documents").select("doc_id"), [0.7, 0.3], ["doc_id"], seed=None)
@@ -384,10 +417,10 @@ def dedupe_similar(spark, d):
     return dedupe.dedupe_similar(table(spark, d, "documents"), "text", "doc_id").select("doc_id")
 
 
-@query("SELECT id, sum(n)::BIGINT AS n FROM (SELECT doc_id AS id, 1 AS n FROM documents UNION ALL SELECT item_id, 1 FROM benchmark) GROUP BY id")
+@query("SELECT doc_id AS id, md5(text) AS text, lang FROM documents UNION ALL SELECT item_id, md5(text), NULL FROM benchmark")
 def concat_rows(spark, d):
     both = sets.concat(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
-    return both.groupBy("id").agg(F.count("*").alias("n"))
+    return both.select("id", F.md5(F.col("text").cast("binary")).alias("text"), "lang")
 
 
 @query("""WITH o AS (SELECT DISTINCT c_nationkey AS k FROM customer), n AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
@@ -552,3 +585,194 @@ def stream_filter(spark, d):
     src = table(spark, d, "events")
     stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet*")
     return drain(rows.filter_rows(stream, "x.value > 10")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+# sources and sinks: what is written and read again
+
+def _again(df: DataFrame, name: str, **options) -> DataFrame:
+    path = f"{new_path(df.sparkSession, 'io')}/{name}"
+    files.save(df, path, **options)
+    return files.load(df.sparkSession, path)
+
+
+@query(CHATS + "SELECT conv_id, len(m) AS n, m[1].role AS first_role, md5(m[-1].content) AS last_text FROM c")
+def io_jsonl(spark, d):
+    m = _again(chats(spark, d), "chats.jsonl")
+    return m.select("conv_id", F.size("messages").cast("long").alias("n"), F.col("messages")[0].role.alias("first_role"), F.md5(F.element_at("messages", -1).content.cast("binary")).alias("last_text"))
+
+
+@query("SELECT doc_id, lang, md5(text) AS text FROM documents")
+def io_jsonl_gz(spark, d):
+    return _again(table(spark, d, "documents").select("doc_id", "lang", "text"), "docs.jsonl.gz").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT page_id, url, md5(html) AS html FROM pages")
+def io_csv(spark, d):
+    """Quotes, commas and line breaks inside of texts."""
+    p = _again(table(spark, d, "pages"), "pages.csv")
+    return p.select(F.col("page_id").cast("long").alias("page_id"), "url", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
+@query(CHATS + "SELECT conv_id, m[1].role AS first_role, md5(m[1].content) AS first_text FROM c")
+def io_tsv_nested(spark, d):
+    """Nested columns are JSON texts in the file and are decoded on the way back."""
+    t = _again(chats(spark, d), "chats.tsv")
+    at = lambda p: F.variant_get("messages", p, "string")
+    return t.select(F.col("conv_id").cast("long").alias("conv_id"), at("$[0].role").alias("first_role"), F.md5(at("$[0].content").cast("binary")).alias("first_text"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def io_arrow(spark, d):
+    return _again(table(spark, d, "customer"), "customer.arrow").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def io_parquet(spark, d):
+    return _again(table(spark, d, "events"), "events.parquet", rows_per_file=1000).select("event_id", "event_type", "value")
+
+
+@query("SELECT lpad((k // 300)::VARCHAR, 5, '0') AS shard, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) GROUP BY 1")
+def io_sharded(spark, d):
+    path = new_path(spark, "io")
+    files.save_sharded(table(spark, d, "documents").select("doc_id", "lang"), path, 300, ["doc_id"])
+    got = spark.read.option("basePath", path).schema("doc_id long, lang string, shard string").json(path)
+    return got.groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def io_append(spark, d):
+    path = f"{new_path(spark, 'io')}/all.jsonl"
+    for name, prefix in (("nation", "n"), ("region", "r")):
+        t = table(spark, d, name)
+        files.append(t.select(F.col(f"{prefix}_{name}key").alias("k"), F.col(f"{prefix}_name").alias("name")), path)
+    return files.load(spark, path).select(F.col("k").cast("int").alias("k"), "name")
+
+
+@query("SELECT unnest(['jsonl', 'parquet', 'csv']) AS format, unnest([(SELECT count(*) FROM events), (SELECT count(*) FROM orders), (SELECT count(*) FROM pages)]) AS n")
+def io_count(spark, d):
+    base, out = new_path(spark, "io"), []
+    for fmt, name in (("jsonl", "events"), ("parquet", "orders"), ("csv", "pages")):
+        files.save(table(spark, d, name), f"{base}/{name}.{fmt}")
+        out.append((fmt, files.count_rows(spark, f"{base}/{name}.{fmt}")))
+    return spark.createDataFrame(out, "format string, n long")
+
+
+# more layouts, each against the conversations it came from
+
+TURNS = "SELECT conv_id, string_agg({0} || chr(30) || text, chr(31) ORDER BY turn) AS t FROM conversations WHERE {1} GROUP BY conv_id"
+SHARE = "CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' WHEN 'tool' THEN 'observation' ELSE role END"
+
+
+def _said(df: DataFrame, name: str, role: str, text: str) -> DataFrame:
+    """A digest of all turns of each row."""
+    return df.select(F.md5(F.array_join(F.transform(F.col(name), lambda m: F.concat(m[role], F.lit("\x1e"), m[text])), "\x1f").cast("binary")).alias("said"))
+
+
+@query("SELECT md5(t) AS said FROM (" + TURNS.format("role", "true") + ")")
+def preset_sharegpt_to_messages(spark, d):
+    return _said(presets.sharegpt_to_messages(presets.sharegpt(chats(spark, d))), "messages", "role", "content")
+
+
+@query("SELECT md5(t) AS said, true AS add_generation_prompt FROM (" + TURNS.format("role", "true") + ")")
+def convert_hf_chat(spark, d):
+    out = presets.to_hf_chat(chats(spark, d), add_generation_prompt=True)
+    return _said(out, "messages", "role", "content").withColumn("add_generation_prompt", F.lit(True))
+
+
+@query("SELECT md5(t) AS said FROM (" + TURNS.format(SHARE, "true") + ")")
+def convert_axolotl(spark, d):
+    return _said(presets.to_axolotl(chats(spark, d)), "conversations", "from", "value")
+
+
+@query("SELECT md5(coalesce(t, '')) AS said, coalesce(s, '') AS system FROM (SELECT conv_id, min_by(text, turn) FILTER (role = 'system') AS s FROM conversations GROUP BY conv_id) LEFT JOIN (" + TURNS.format(SHARE, "role <> 'system'") + ") USING (conv_id)")
+def convert_llama_factory_sharegpt(spark, d):
+    out = presets.to_llama_factory_sharegpt(chats(spark, d))
+    return out.select(F.md5(F.array_join(F.transform("conversations", lambda m: F.concat(m["from"], F.lit("\x1e"), m["value"])), "\x1f").cast("binary")).alias("said"), "system")
+
+
+@query("SELECT coalesce(max_by(text, turn) FILTER (role = 'user'), '') AS instruction, '' AS input, coalesce(max_by(text, turn) FILTER (role = 'assistant'), '') AS output, conv_id || '.png' AS image FROM conversations GROUP BY conv_id")
+def convert_llama_factory_vlm(spark, d):
+    c = chats(spark, d).withColumn("images", F.concat(F.col("conv_id").cast("string"), F.lit(".png")))
+    return presets.to_llama_factory_vlm(c).select("instruction", "input", "output", F.col("images")[0].alias("image"))
+
+
+@query("SELECT md5(coalesce(t, '')) AS said, [conv_id || '.png'] AS images FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (" + TURNS.format(SHARE, "role <> 'system'") + ") USING (conv_id)")
+def convert_llama_factory_vlm_sharegpt(spark, d):
+    c = chats(spark, d).withColumn("images", F.array(F.concat(F.col("conv_id").cast("string"), F.lit(".png"))))
+    out = presets.to_llama_factory_vlm_sharegpt(c)
+    return out.select(F.md5(F.array_join(F.transform("conversations", lambda m: F.concat(m["from"], F.lit("\x1e"), m["value"])), "\x1f").cast("binary")).alias("said"), "images")
+
+
+@query("SELECT md5(CASE WHEN first = 'system' THEN t ELSE 'system' || chr(30) || 'Be brief.' || chr(31) || t END) AS said FROM (" + TURNS.format("role", "true") + ") JOIN (SELECT conv_id, min_by(role, turn) AS first FROM conversations GROUP BY conv_id) USING (conv_id)")
+def convert_swift_messages(spark, d):
+    return _said(presets.to_swift_messages(chats(spark, d), "Be brief."), "messages", "role", "content")
+
+
+@query("SELECT md5(t) AS said FROM (" + TURNS.format("role", "role IN ('user', 'assistant', 'system')") + ")")
+def convert_swift_vlm(spark, d):
+    return _said(presets.to_swift_vlm(chats(spark, d)), "messages", "role", "content")
+
+
+@query("SELECT doc_id::VARCHAR AS custom_id, lang AS content, 'm' AS model FROM documents WHERE n_chars > 500")
+def import_openai_batch(spark, d):
+    """Results as a batch returns them; those with another status than 200 are left out."""
+    x = table(spark, d, "documents")
+    message_ = F.struct(F.lit("assistant").alias("role"), F.col("lang").alias("content"))
+    body = F.struct(F.lit("m").alias("model"), F.array(F.struct(message_.alias("message"))).alias("choices"), F.struct(F.col("n_chars").alias("total_tokens")).alias("usage"))
+    status = F.when(F.col("n_chars") > 500, 200).otherwise(500)
+    got = x.select(F.col("doc_id").cast("string").alias("custom_id"), F.struct(status.alias("status_code"), body.alias("body")).alias("response"))
+    return presets.from_openai_batch(got).select("custom_id", "content", "model")
+
+
+@query("""WITH l AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS k FROM customer),
+r AS (SELECT CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS k, n_name, n_nationkey FROM nation), f AS (SELECT k, min_by(n_name, n_nationkey) AS n_name FROM r GROUP BY k)
+SELECT c_custkey, l.k, n_name FROM l LEFT JOIN f ON l.k IS NOT DISTINCT FROM f.k""")
+def join_null_keys(spark, d):
+    """Null matches null, and of rows on the right that share a key, null among them, the first counts."""
+    left = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("k"))
+    right = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")).alias("k"), "n_name")
+    return joins.join_rows(left, right, on="x.k", order=["n_nationkey"]).select("c_custkey", "k", "n_name")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'none' ELSE event_type END AS kind, CASE WHEN value > 50 THEN value ELSE 0.5 END AS value, 'x' AS note FROM events")
+def clean_fill(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(" ").alias("kind"), F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    return rows.clean(e, fill={"kind": "none", "value": "0.5", "note": "x"})
+
+
+@query("""SELECT doc_id, 'look,' || lang AS calls, (length(text) - length(replace(text, 'e', '')))::INT AS imgs, length(text) - length(replace(text, 'e', '')) <> 2 AS mismatch FROM documents WHERE n_chars < 300""")
+def tool_calls_and_images(spark, d):
+    """Two calls, the first repeated, and an image's placeholder for each letter e of the text."""
+    x = table(spark, d, "documents").where("n_chars < 300")
+
+    def call(name):
+        return F.struct(F.struct(name.alias("name"), F.lit("{}").alias("arguments")).alias("function"))
+
+    made = F.array(call(F.lit("look")), call(F.col("lang")), call(F.lit("look")))
+    turn = F.struct(F.lit("assistant").alias("role"), F.replace("text", F.lit("e"), F.lit("<image>")).alias("content"), made.alias("tool_calls"))
+    x = x.select("doc_id", F.array(turn).alias("messages"), F.array(F.lit("a"), F.lit("b")).alias("images"))
+    s = x.drop("images").schema
+    return x.select("doc_id", rowfn.calls(s).alias("calls"), rowfn.imgs(s).alias("imgs"), rowfn.image_mismatch(x.schema).alias("mismatch"))
+
+
+@query("SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM conversations")
+def text_lines(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.size(textfn.lines(F.replace("text", F.lit("."), F.lit("\n")))).cast("long").alias("n"))
+
+
+@query("SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'S' WHEN bool_or(role = 'assistant') THEN 'A' WHEN bool_or(role = 'user') THEN 'U' END AS best FROM conversations GROUP BY conv_id")
+def value_mapping(spark, d):
+    c = chats(spark, d)
+    return c.select("conv_id", textfn.map_with_priority(F.transform("messages", lambda m: m.role), {"user": "U", "assistant": "A", "system": "S"}).alias("best"))
+
+
+@query("SELECT event_type, min(event_id) IS NOT NULL AS seen, count(DISTINCT event_type) AS n FROM events GROUP BY event_type")
+def stream_dedupe(spark, d):
+    """The first row of each key of a stream; the watermark is longer than the table's time."""
+    from .streaming.operators import dedupe_stream, drain
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    got = drain(dedupe_stream(stream, ["event_type"], "ts", "36500 days"))
+    return got.groupBy("event_type").agg(F.min("event_id").isNotNull().alias("seen"), F.count("*").alias("n"))

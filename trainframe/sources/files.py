@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import ORDINAL
+
 FORMATS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".arrow": "arrow", ".feather": "arrow", ".orc": "orc", ".txt": "text", ".xlsx": "excel", ".xls": "excel"}
 
 
@@ -77,19 +79,33 @@ def read_arrow(spark: SparkSession, path: str, schema: T.StructType | None = Non
                     yield from pa.ipc.open_stream(buf).read_all().to_batches()
 
     if schema is None:
-        import pyarrow as pa
-
-        first = files.first()["content"]
-        try:
-            found = pa.ipc.open_file(first).schema
-        except pa.ArrowInvalid:
-            found = pa.ipc.open_stream(first).schema
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        schema = from_arrow_schema(found)
+        def described(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for content in batch.column(0):
+                    buf = content.as_buffer()
+                    try:
+                        found = pa.ipc.open_file(buf).schema
+                    except pa.ArrowInvalid:
+                        found = pa.ipc.open_stream(buf).schema
+                    yield pa.RecordBatch.from_pydict({"schema": [found.serialize().to_pybytes()]})
+
+        import pyarrow as pa
+
+        first = files.limit(1).mapInArrow(described, "schema binary").first()["schema"]  # only that comes to the driver
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(first)))
     return files.mapInArrow(run, schema)
 
 
+def load_ordered(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """``load`` with the hidden column ``ORDINAL``."""
+    fmt = options.get("fmt") or detect_file_format(path if isinstance(path, str) else path[0])
+    return with_ordinal(load(spark, path, **options), fmt)
+
+
 def load(spark: SparkSession, path: str | list[str], fmt: str | None = None, decode: bool = True, **options) -> DataFrame:
     """Read by extension; a directory or pattern is all its files. ``decode`` turns JSON texts of CSV to VARIANT."""
     first = path if isinstance(path, str) else path[0]
@@ -110,9 +126,22 @@ def load(spark: SparkSession, path: str | list[str], fmt: str | None = None, dec
     return spark.read.format(fmt).load(path)
 
 
-def with_ordinal(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """The place of each row of files that Spark reads: file and, for Parquet, row in it; text files keep line order."""
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+def with_ordinal(df: DataFrame, fmt: str = "parquet", name: str = ORDINAL) -> DataFrame:
+    """``df``, as read by ``load``, with each row's place as a text: its file, then the row in it.
+
+    Parquet knows the row; of other files it is the block's place and the row's number in the block, which is that of
+    its line. Files come in the order of their paths.
+    """
+
+    def padded(c: Column) -> Column:
+        return F.lpad(c.cast("string"), 20, "0")
+
+    if fmt in ("arrow", "excel", ""):  # rows that no reader of Spark's has made
+        return df.withColumn(name, padded(F.monotonically_increasing_id()))
+    file = F.col("_metadata.file_path")
+    if fmt == "parquet":
+        return df.select("*", F.concat(file, F.lit(" "), padded(F.col("_metadata.row_index"))).alias(name))
+    return df.select("*", F.concat(file, F.lit(" "), padded(F.col("_metadata.file_block_start")), padded(F.monotonically_increasing_id())).alias(name))
 
 
 def count_rows(spark: SparkSession, path: str, fmt: str | None = None) -> int:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Operators that need all rows at once.
 WHOLE = ("sort", "tail", "shuffle", "split", "sample", "head", "skip", "slice", "group", "diff", "describe")
 
@@ -34,11 +35,10 @@ def windowed_counts(df: DataFrame, event_time: str, by: list[str], window: str =
 def drain(df: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote: Parquet, exactly once by its checkpoint.
 
-    Without a path it goes to the shared folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, to
-    a temporary one.
+    Without a path it goes to the shared folder.
     """
     spark = df.sparkSession
-    base = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    base = path or shared_dir(spark)
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
