@@ -10,15 +10,13 @@ have the same sampled position inside. A sampled position stands for the run of
   1. K bytes, and the whole run: pairs (name of the K bytes at the position, name of all bytes that the run's windows
      cover) are sorted. A run alone in its class of K bytes is unique and ends. Of equal runs only the first goes on; all
      windows of the others start earlier too. A run whose class has no other name is unique but for its copies and ends.
-  2. half way to ``length`` on either side: a window reaches half of ``length - K`` bytes beyond the K bytes to the left
-     or to the right. A run that shares neither its left nor its right half with another run of its class ends.
-  3. 64 bytes (and so on, doubling): what is left are windows at the edges of repeated passages, a row each. Pairs (name of
-     K bytes, name of the next K) are sorted; windows alone in their class end.
-  4. ``length``, as the overlapped last step: pairs (rank for 64 bytes, names of the last 64) are sorted, and all but the
-     first of each class start earlier too.
-
-In 1, rows of one rank need not meet in one task: a task first drops all but the first of equal runs among its own rows.
-In 3 and 4 a class may lie in several ranges of the sort.
+  2. 66 bytes: a window reaches half of ``length - K`` bytes beyond the K bytes to the left or to the right. Windows that
+     reach left end if no other run of their class has the same bytes there, and so do those that reach right.
+  3. ``length``: what is left are windows at the edges of repeated passages, a row each. Pairs (name of the first 64 bytes,
+     name of the last 64), each of names of K bytes, are sorted; all but the first of each class start earlier too.
+
+Names are 64-bit hashes, which a task has at hand without a sort. Rows of one name need not meet in one task: a task first
+drops all but the first of equal runs, and of equal windows, among its own rows.
 """
 
 from __future__ import annotations
@@ -107,8 +105,12 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int):
 
 
 def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
-    """Runs of many rows: (row, first window in its row, number of windows, rank at K, next rank, halves)."""
-    rows, firsts, counts, ranks, nexts, sides = [], [], [], [], [], []
+    """Runs of many rows: (row, first window in its row, number of windows, rank at K, next rank, halves, middle).
+
+    The windows up to the middle one of a run reach far enough to the left to hold its left half, others its right half.
+    """
+    rows, firsts, counts, ranks, nexts, sides, middles = [], [], [], [], [], [], []
+    left = (length - K) // 2
     digest = xxhash.xxh3_64_intdigest
 
     def add(piece, begin, count, place, h, row, offset):
@@ -119,6 +121,7 @@ def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
         counts.append(count)
         ranks.append(h[place])
         sides.append(halves(h, begin, count, place, length))
+        middles.append(np.clip(place - left - begin, -1, count - 1))
 
     for i, j in common.parts(at, SEGMENT):
         a, b = int(at[i]), int(at[j])
@@ -157,18 +160,18 @@ def _runs_of(raw: np.ndarray, at: np.ndarray, length: int):
         starts = np.concatenate([[0], ends[:-1]])
         add(piece, begin, count, place, h, row + i, begin - starts[row])
     if not rows:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
-    return tuple(np.concatenate(x) for x in (rows, firsts, counts, ranks, nexts, sides))
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),)
+    return tuple(np.concatenate(x) for x in (rows, firsts, counts, ranks, nexts, sides, middles))
 
 
 SPAN = "row long, first long, end long"
-RUN = "rank long, next long, sides long, row long, first long, count int"
-HEADS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("rank", pa.int64()), ("sides", pa.int64())])
+RUN = "rank long, next long, sides long, row long, first long, count int, middle int"
+HEADS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("rank", pa.int64()), ("sides", pa.int64()), ("middle", pa.int64())])
 
 
-def _spans(row, first, end, rank=None, sides=None) -> pa.RecordBatch:
+def _spans(row, first, end, rank=None, sides=None, middle=None) -> pa.RecordBatch:
     none = pa.nulls(len(row), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), none if rank is None else pa.array(rank, pa.int64()), none if sides is None else pa.array(sides, pa.int64())], schema=HEADS)
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), none if rank is None else pa.array(rank, pa.int64()), none if sides is None else pa.array(sides, pa.int64()), none if middle is None else pa.array(middle, pa.int64())], schema=HEADS)
 
 
 def _again(*keys: np.ndarray) -> np.ndarray:
@@ -191,17 +194,17 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
     def sample(batches):
         for batch in batches:
             raw, at = common.text_bytes(batch.column(1))
-            row, first, count, rank, nxt, sides = _runs_of(raw, at, length)
+            row, first, count, rank, nxt, sides, middle = _runs_of(raw, at, length)
             if not len(row):
                 continue
             row = batch.column(0).to_numpy(zero_copy_only=False)[row]
             # equal runs among these rows: all but the first are known to be repeats (count is negative)
             o = np.lexsort((first, row, nxt, rank))
-            row, first, count, rank, nxt, sides = row[o], first[o], count[o], rank[o], nxt[o], sides[o]
+            row, first, count, rank, nxt, sides, middle = row[o], first[o], count[o], rank[o], nxt[o], sides[o], middle[o]
             count = np.where(_again(rank, nxt, count), -count, count)
             for i in range(0, len(row), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(rank[s].view(np.int64)), pa.array(nxt[s].view(np.int64)), pa.array(sides[s].view(np.int64)), pa.array(row[s]), pa.array(first[s]), pa.array(count[s].astype(np.int32))], ["rank", "next", "sides", "row", "first", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(rank[s].view(np.int64)), pa.array(nxt[s].view(np.int64)), pa.array(sides[s].view(np.int64)), pa.array(row[s]), pa.array(first[s]), pa.array(count[s].astype(np.int32)), pa.array(middle[s].astype(np.int32))], ["rank", "next", "sides", "row", "first", "count", "middle"])
 
     found = texts.mapInArrow(common.trimmed(sample), RUN)
     # repeats are dealt out by a key of their own, so a hot rank brings its task only a row per batch of texts
@@ -213,11 +216,11 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
         last_rank = last_next = last_count = None
         pending: list | None = None  # the first row of a rank that has had no other next rank
         for batch in batches:
-            rank, nxt, sides, row, first, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            rank, nxt, sides, row, first, count, middle = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             known = count < 0
             if known.any():
                 yield _spans(row[known], first[known], first[known] - count[known] + length - 1)
-                rank, nxt, sides, row, first, count = (x[~known] for x in (rank, nxt, sides, row, first, count))
+                rank, nxt, sides, row, first, count, middle = (x[~known] for x in (rank, nxt, sides, row, first, count, middle))
             if not len(rank):
                 continue
             same_rank = np.concatenate([[last_rank is not None and rank[0] == last_rank], rank[1:] == rank[:-1]])
@@ -233,48 +236,75 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
                 shared = joined.copy()
                 shared[:-1] |= joined[1:]
                 end = head[-1]
-                pending = None if shared[-1] else [int(x) for x in (row[end], first[end], first[end] + count[end], rank[end], sides[end])]
+                pending = None if shared[-1] else [int(x) for x in (row[end], first[end], first[end] + count[end], rank[end], sides[end], first[end] + middle[end])]
                 go = head[shared]
                 if len(go):
-                    yield _spans(row[go], first[go], first[go] + count[go], rank[go], sides[go])
+                    yield _spans(row[go], first[go], first[go] + count[go], rank[go], sides[go], first[go] + middle[go])
             last_rank, last_next, last_count = rank[-1], nxt[-1], count[-1]
 
-    got = common.materialize(dealt.mapInArrow(common.trimmed(rerank), "row long, first long, end long, rank long, sides long"), "runs", group)
-    # half way: each run under both of its halves; a half that only one run of the class has ends there
-    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")))).alias("h")
-    sided = got.where("rank is not null").select("row", "first", "end", "rank", half).select("row", "first", "end", "rank", "h.side", "h.half")
+    got = common.materialize(dealt.mapInArrow(common.trimmed(rerank), "row long, first long, end long, rank long, sides long, middle long"), "runs", group)
+    # half way: the windows of a run on the side of each of its halves; those of a half that no other run has end there
+    half = F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("half"), F.col("first").alias("lo"), (F.col("middle") + 1).alias("hi")),
+        F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half"), (F.col("middle") + 1).alias("lo"), F.col("end").alias("hi")),
+    )).alias("h")
+    sided = got.where("rank is not null").select("row", "rank", half).select("row", "rank", "h.*")
     shared = sided.groupBy("rank", "side", "half").count().where("count > 1").drop("count")
-    left = sided.join(shared, ["rank", "side", "half"], "left_semi").groupBy("row", "first", "end").agg(F.lit(1).alias("x"))
-    left = left.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("windows"))
+    left = sided.where("lo < hi").join(shared, ["rank", "side", "half"], "left_semi")
+    left = left.groupBy("row").agg(F.collect_list(F.struct(F.col("lo").alias("first"), F.col("hi").alias("end"))).alias("windows"))
     left = common.materialize(left, "edges", group)
 
     offsets, size = names_of(length)
-    first_names, last_names = [f"a{k}" for k in range(len(offsets))], [f"b{k}" for k in range(len(offsets))]
 
     def windows(batches):
-        """Each window of the edges with the names of its first ``size`` bytes and of its last, K bytes each."""
+        """Each window of the edges with the names of its first and last bytes; known repeats have their place negative."""
         for batch in batches:
+            held: list[tuple] = []
             for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 for s in spans:
                     for lo in range(s["first"], s["end"], SEGMENT):
                         hi = min(s["end"], lo + SEGMENT)
-                        h = rank_hashes(raw[lo : hi + length - 1]).view(np.int64)
-                        at = np.arange(hi - lo)
-                        cols = [h[at + o] for o in offsets] + [h[at + length - size + o] for o in offsets]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, row)), pa.array(at + lo), *map(pa.array, cols)], ["row", "first", *first_names, *last_names])
+                        h = rank_hashes(raw[lo : hi + length - 1])
+                        k1, k2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                        for o in offsets:
+                            k1 = _mix(k1 + h[o : o + hi - lo])
+                            k2 = _mix(k2 + h[length - size + o : length - size + o + hi - lo])
+                        held.append((k1.view(np.int64), k2.view(np.int64), np.full(hi - lo, row), np.arange(lo, hi)))
+                        if sum(len(x[0]) for x in held[-64:]) > 200_000 or len(held) > 4000:
+                            yield from ordered_windows(held)
+                            held = []
+            if held:
+                yield from ordered_windows(held)
+
+    def ordered_windows(held: list[tuple]):
+        k1, k2, row, first = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = np.lexsort((first, row, k2, k1))
+        k1, k2, row, first = k1[o], k2[o], row[o], first[o]
+        first = np.where(_again(k1, k2), -1 - first, first)
+        for i in range(0, len(o), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (k1, k2, row, first)], ["k1", "k2", "row", "first"])
+
+    def last_rank(batches):
+        """Windows in order of their bytes' digest and place: spans of all but the first."""
+        before = None
+        for batch in batches:
+            k1, k2, row, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            known = first < 0
+            if known.any():
+                yield _spans(row[known], -1 - first[known], -1 - first[known] + length).select(["row", "first", "end"])
+                k1, k2, row, first = (x[~known] for x in (k1, k2, row, first))
+            if not len(k1):
+                continue
+            same = _again(k1, k2)
+            same[0] = before == (k1[0], k2[0])
+            before = (k1[-1], k2[-1])
+            yield _spans(row[same], first[same], first[same] + length).select(["row", "first", "end"])
 
     bytes_of = texts.withColumn("text", F.col("text").cast("binary")).join(left, "row").select("row", "text", "windows")
-    ranked = bytes_of.mapInArrow(common.trimmed(windows), ", ".join(f"{c} long" for c in ["row", "first", *first_names, *last_names]))
-    ranked = common.materialize(ranked, "windows", group).withColumnRenamed("a0", "rank_")
-    done = 1  # names that the rank stands for: the rank of K bytes is their name
-    while done < len(offsets):
-        more = first_names[done : 2 * done]
-        ranked = sorted_ranks(ranked, ["rank_", *more], ["row", "first"], group).where("not alone")
-        ranked = ranked.select("row", "first", F.col("rank").alias("rank_"), *first_names[2 * done :], *last_names)
-        done *= 2
-    ranked = sorted_ranks(ranked, ["rank_", *last_names], ["row", "first"], group)
-    again = ranked.where("not begins").select("row", "first", (F.col("first") + length).alias("end")).mapInArrow(common.trimmed(_merge), SPAN)
+    ranked = bytes_of.mapInArrow(common.trimmed(windows), "k1 long, k2 long, row long, first long")
+    key = F.when(F.col("first") < 0, F.xxhash64("row", "first")).otherwise(F.xxhash64("k1", "k2"))
+    again = ranked.repartition(n, key).sortWithinPartitions("k1", "k2", "row", "first").mapInArrow(common.trimmed(lambda batches: _merge(last_rank(batches))), SPAN)
     return got.where("rank is null").select("row", "first", "end").mapInArrow(common.trimmed(_merge), SPAN).union(again)
 
 
