@@ -26,25 +26,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the group's smallest id; of rows that share it, one.
+    """One row of each group: that with the group's smallest id; rows without an id stand behind those that have one.
 
-    Rows without an id stay only where their group has no id, all of them.
+    Rows that share an id, or have none, are documents of their own, told apart by ``_row``.
     """
     common.release(spark, GROUP)
-    docs = docs.select(COLUMNS)
-    found = simhash.near_duplicates(docs, group=GROUP)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    nameless = found.where("component_id is null and doc_id is null").limit(1).count()
-    with_id = docs.where("doc_id is not null").join(keep, "doc_id").select(COLUMNS)
-    # one row of those that repeat an id; there is nothing to do where ids are unique, as this looks at ids alone
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if not repeated.isEmpty():
-        first = F.min(F.struct(*(F.col(c) for c in COLUMNS[1:]))).alias("row")
-        once = with_id.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
-        with_id = with_id.join(repeated, "doc_id", "left_anti").select(COLUMNS).union(once.select(COLUMNS))
-    if nameless:
-        with_id = with_id.union(docs.where("doc_id is null"))
-    return with_id
+    rows = suffix_dedup.ordered(docs.select(COLUMNS), GROUP)
+    rows = rows.withColumn("_row", F.when(F.col("doc_id").isNull(), F.col("_row") + F.lit(1 << 61)).otherwise(F.col("_row")))
+    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), group=GROUP)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(keep, "_row").select(COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
