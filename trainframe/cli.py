@@ -11,6 +11,7 @@ from .functions.expr import ExprError
 from .functions.paths import PathError
 from .functions.values import ORDINAL
 from .operators import sets, validate
+from .sources.files import read_stream
 
 #: Exit codes: fine, failed, wrong use, no such input, data not valid.
 OK, FAILED, USAGE, MISSING, INVALID = 0, 1, 2, 3, 4
@@ -37,7 +38,11 @@ def parser() -> argparse.ArgumentParser:
     add("sort", ("by", {}), ("--desc", {"action": "store_true"}))
     add("head", n)
     add("tail", n)
+    add("skip", n)
     add("slice", ("bounds", {}))
+    pairs = {"action": "append", "default": [], "metavar": "NAME:VALUE"}
+    add("clean", ("--strip", {"action": "store_true"}), ("--drop-empty", {"nargs": "?", "const": True}), *((f"--{o}", pairs) for o in ("min-len", "max-len", "min-tokens", "max-tokens", "promote", "rename", "add", "fill")), *((f"--{o}", {}) for o in ("keep", "drop", "reorder")))
+    add("eval", ("--label", {}), ("--pred", {"required": True}), ("--report", {}))
     add("sample", n, ("--by", {}), ("--seed", {"type": int, "default": 42}))
     add("shuffle", ("--seed", {"type": int, "default": 42}))
     add("group", ("by", {}), ("--agg", {}), ("--top", {"type": int}))
@@ -64,7 +69,8 @@ def execute(spark, args: argparse.Namespace):
     """The DataFrame (or list of them) that a command stands for."""
     from .operators import aggregate
 
-    d = Dataset.load(spark, args.input, [c for c in args.order.split(",") if c])
+    by = [c for c in args.order.split(",") if c]
+    d = Dataset(read_stream(spark, sys.stdin.buffer), by) if args.input == "-" else Dataset.load(spark, args.input, by)
     load = lambda path: Dataset.load(spark, path)
     match args.command:
         case "filter":
@@ -79,7 +85,24 @@ def execute(spark, args: argparse.Namespace):
             return d.explode(args.field, args.as_, args.index_as).df
         case "sort":
             return d.sort(args.by, args.desc).df
-        case "head" | "tail":
+        case "clean":
+            from .operators.rows import parse_options
+
+            maps = {o: parse_options(got) for o in ("min_len", "max_len", "min_tokens", "max_tokens", "promote", "rename", "add", "fill") if (got := getattr(args, o))}
+            lists = {o: [x.strip() for x in got.split(",")] for o in ("keep", "drop", "reorder") if (got := getattr(args, o))}
+            empty = args.drop_empty if args.drop_empty in (True, None) else args.drop_empty.split(",")
+            return d.clean(strip_text=args.strip, drop_empty=empty or False, **maps, **lists).df
+        case "eval":
+            from .plans.export import export_eval, label_column
+
+            label = args.label or label_column(d.df.schema)
+            if label is None:
+                raise ExprError("no column of a usual name holds the labels: name it by --label")
+            rows = d.df.selectExpr("*", f"{label} AS _label")
+            if args.report:
+                export_eval(rows, "_label", args.pred, args.report)
+            return aggregate.class_metrics(rows, "_label", args.pred)
+        case "head" | "tail" | "skip":
             return getattr(d, args.command)(args.n).df
         case "slice":
             a, _, b = args.bounds.partition(":")

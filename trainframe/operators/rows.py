@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import ExprError, Unsupported, passing, value_of, where_of
 from ..functions.paths import path_value
-from ..functions.values import is_empty, length_of, strip
+from ..functions.values import as_text, is_empty, length_of, strip
 
 
 class RowError(ValueError):
@@ -190,12 +190,20 @@ def parse_options(text: str | dict | list, need_value: bool = True) -> dict[str,
     return out
 
 
+def _tokens_of(c: Column, t: T.DataType) -> Column:
+    from ..functions.tokens import count_tokens
+
+    return count_tokens(as_text(c, t))
+
+
 def clean(
     df: DataFrame,
     strip_text: bool = False,
     drop_empty: bool | list[str] = False,
     min_len: dict[str, int] | None = None,
     max_len: dict[str, int] | None = None,
+    min_tokens: dict[str, int] | None = None,
+    max_tokens: dict[str, int] | None = None,
     promote: dict[str, str] | None = None,
     keep: list[str] | None = None,
     drop: list[str] | None = None,
@@ -215,10 +223,10 @@ def clean(
     for p in paths:
         v = path_value(df.schema, p)
         test = ~is_empty(v.c, v.t) if test is None else test & ~is_empty(v.c, v.t)
-    for limits, under in ((min_len, True), (max_len, False)):
+    for limits, under, by in ((min_len, True, length_of), (max_len, False, length_of), (min_tokens, True, _tokens_of), (max_tokens, False, _tokens_of)):
         for p, n in (limits or {}).items():
             v = path_value(df.schema, p)
-            size = length_of(v.c, v.t)
+            size = by(v.c, v.t)
             ok = size >= int(n) if under else size <= int(n)
             test = ok if test is None else test & ok
     if test is not None:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregate, presets
 from ..sources.files import save
@@ -33,13 +34,28 @@ def export_for(df: DataFrame, framework: str, folder: str, name: str = "dataset"
     return ["data", *configs]
 
 
+#: Names of columns that hold the true class, the likeliest first.
+LABELS = ("label", "labels", "content_label", "target", "ground_truth", "answer")
+
+
+def label_column(schema: T.StructType) -> str | None:
+    """The first column of a usual name, at the top or else within a struct, as a path."""
+    for name in LABELS:
+        if name in schema.names:
+            return name
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType) and (found := [n for n in LABELS if n in f.dataType.names]):
+            return f"{f.name}.{found[0]}"
+    return None
+
+
 def export_eval(df: DataFrame, label: str, pred: str, folder: str) -> str:
     """results, bad cases and metrics.md below ``folder``; returns the report."""
     m = aggregate.overall_metrics(df, label, pred).first()
     lines = ["# Evaluation", "", f"{m['n'] or 0} rows", "", "| metric | value |", "| --- | --- |"]
     lines += [f"| {k} | {m[k] or 0:.4f} |" for k in ("accuracy", "precision", "recall", "f1")]
     lines += ["", "| label | precision | recall | f1 | support |", "| --- | --- | --- | --- | --- |"]
-    for r in aggregate.class_metrics(df, label, pred).orderBy("label").limit(1000).collect():
+    for r in aggregate.class_metrics(df, label, pred).orderBy("label").toLocalIterator():
         lines.append(f"| {r.label} | {r.precision:.4f} | {r.recall:.4f} | {r.f1:.4f} | {r.support} |")
     save(df, f"{folder}/result", "jsonl")
     save(df.where(~F.col(label).eqNullSafe(F.col(pred))), f"{folder}/bad_case", "jsonl")

@@ -127,7 +127,7 @@ def _step(df: DataFrame, kind: str, o: dict[str, Any], by: list[str], spec: dict
         case "clean":
             o = dict(o)
             o["strip_text"] = o.pop("strip", False)
-            for k in ("min_len", "max_len", "promote", "rename", "add", "fill"):
+            for k in ("min_len", "max_len", "min_tokens", "max_tokens", "promote", "rename", "add", "fill"):
                 if isinstance(o.get(k), str):
                     o[k] = rows.parse_options(o[k])
             for k in ("keep", "drop", "reorder", "drop_empty"):

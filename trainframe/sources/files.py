@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,15 +159,36 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite", rows_per_file: int | None = None) -> None:
-    """Write by extension to a directory, committed as a whole. Nulls are written, nested CSV cells are JSON texts."""
+    """Write by extension to a directory, committed as a whole. Nulls are written, nested CSV cells are JSON texts.
+
+    What replaces something is written beside it and then takes its place, so a failure leaves the old data, and rows may
+    come from the very files that they replace.
+    """
     fmt = fmt or detect_file_format(path)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "overwrite" and fmt != "excel" and store.exists(target):
+        fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+        beside = spark._jvm.org.apache.hadoop.fs.Path(fresh)
+        try:
+            _write(df, fresh, fmt, "errorifexists", rows_per_file, path.endswith(".gz"))
+            store.delete(target, True)
+            store.rename(beside, target)
+        finally:
+            store.delete(beside, True)
+        return
+    _write(df, path, fmt, mode, rows_per_file, path.endswith(".gz"))
+
+
+def _write(df: DataFrame, path: str, fmt: str, mode: str, rows_per_file: int | None, packed: bool) -> None:
     if fmt == "excel":
         flat(df).toPandas().to_excel(path, index=False)
         return
     writer = (flat(df) if fmt in ("csv", "tsv") else df).write.mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
-    if path.endswith(".gz"):
+    if packed:
         writer = writer.option("compression", "gzip")
     if fmt in ("jsonl", "json"):
         if df.columns in (["_raw"], ["_raw", "v"]):
@@ -255,6 +277,16 @@ def emit(df: DataFrame, out, fmt: str = "jsonl") -> int:
     return n
 
 
+def read_stream(spark: SparkSession, stream) -> DataFrame:
+    """JSON lines from a binary stream such as standard input, unpacked if it begins as gzip does."""
+    import gzip
+    import io
+
+    buf = stream if hasattr(stream, "peek") else io.BufferedReader(stream)
+    data = gzip.GzipFile(fileobj=buf) if buf.peek(2)[:2] == b"\x1f\x8b" else buf
+    return from_lines(spark, io.TextIOWrapper(data, encoding="utf-8").read().splitlines())
+
+
 def from_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     """JSON lines that the driver has at hand, as from standard input."""
     for k, line in enumerate(lines, 1):
