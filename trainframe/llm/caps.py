@@ -129,9 +129,10 @@ def decode(unit: np.ndarray, by: Plan) -> tuple[np.ndarray, np.ndarray]:
     return row[o], found[o]
 
 
-def unit_rows(data: list[bytes], dim: int) -> np.ndarray:
-    """Unit vectors in double precision from bytes of floats or doubles."""
-    v = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8") for x in data]).astype(np.float64)
+def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors in double precision from a column of bytes, each the floats or doubles of a vector of ``dim``."""
+    raw, at = common.text_bytes(column)
+    v = raw.view("<f4" if len(raw) == 4 * dim * len(column) else "<f8").reshape(len(column), dim).astype(np.float64)
     v /= np.abs(v).max(axis=1)[:, None]
     return v / np.linalg.norm(v, axis=1)[:, None]
 
@@ -224,7 +225,7 @@ def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame,
                     for i in range(0, len(mine), step):
                         at = mine[i : i + step]
                         vec = batch.column(1).take(pa.array(at))
-                        row, found = decode(unit_rows(vec.to_pylist(), d), plans[d])
+                        row, found = decode(unit_rows(vec, d), plans[d])
                         cols = [pa.array(found), pa.array(np.full(len(row), d, np.int32))]
                         if whole:
                             cols += [batch.column(k).take(pa.array(at[row])) for k in (2, 3)] + [vec.take(pa.array(row))]
@@ -250,10 +251,9 @@ def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame,
     def bucket(key: tuple, held: list[tuple]):
         """All rows of a filter, or of two of its chunks, of which the lesser comes first."""
         which, dim, i, j = (int(k) for k in key)
-        chunk, node, n, vec = (np.concatenate(x) for x in zip(*held, strict=True))
-        if len(node) < 2:
+        if len(held) == 1 and len(held[0][0]) < 2:
             return
-        unit = unit_rows(vec.tolist(), dim)
+        chunk, node, n, unit = (np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
         if i == j:
             yield from verify(which, (node, n, unit), None, least, plans[dim])
             return
@@ -263,18 +263,20 @@ def links(classes: DataFrame, least: float, group: str = "") -> tuple[DataFrame,
 
     def meet(batches):
         held, last = [], None
-        for batch in batches:
+        step = max(16, (1 << 22) // max(plans, default=1))  # rows whose unit vectors are at hand together
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             *key, chunk, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            if not len(node):
-                continue
-            vec = np.array(batch.column(7).to_pylist(), object)
+            place, units = np.empty(len(node), np.int64), {}
+            for d in np.unique(key[1]).tolist():
+                mine = np.flatnonzero(key[1] == d)
+                place[mine], units[d] = np.arange(len(mine)), unit_rows(batch.column(7).take(pa.array(mine)), d)
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             for i, j in zip([0, *new.tolist()], [*new.tolist(), len(node)], strict=True):
                 if (now := tuple(k[i] for k in key)) != last:
                     if held:
                         yield from bucket(last, held)
                     held, last = [], now
-                held.append((chunk[i:j], node[i:j], n[i:j], vec[i:j]))
+                held.append((chunk[i:j], node[i:j], n[i:j], units[int(now[1])][place[i] : place[i] + j - i]))
         if held:
             yield from bucket(last, held)
 
