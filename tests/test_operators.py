@@ -178,3 +178,16 @@ def test_validation(spark):
     assert kinds == {"is not of type str", "a value is required"}
     custom = validate.Schema({"messages": validate.Field("list", custom=lambda c: F.size(c) != 2)})
     assert validate.invalid_rows(df.where("messages is not null"), custom).count() == 2
+
+
+def test_schema_of_nested_rows(spark):
+    """Rates are shares of the parents that are there; texts are listed where they are few."""
+    schema = "a struct<b: string, c: array<struct<d: long, e: string>>>, t string"
+    rows = [((("x"), [(1, "p"), (None, "q")]), f"t{k}") for k in range(3)] + [((None, []), "t3"), (None, None)]
+    rows += [(None, f"u{k}") for k in range(15)]
+    got = {r.path: (r.type, r.rate, r["values"]) for r in aggregate.infer_schema(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "a": ("struct", 4 / 20, None), "t": ("string", 19 / 20, None), "a.b": ("string", 3 / 4, ["x"]), "a.c": ("array", 1.0, None),
+        "a.c[]": ("struct", 1.0, None), "a.c[].d": ("long", 0.5, None), "a.c[].e": ("string", 1.0, ["p", "q"]),
+    }
+    assert aggregate.infer_schema(spark.createDataFrame([], schema)).count() == 7

@@ -227,29 +227,36 @@ def histogram(df: DataFrame, expr: str, bins: int = 10) -> DataFrame:
 def infer_schema(df: DataFrame, max_depth: int = 5) -> DataFrame:
     """(path, type, rate, values): each field's type, share of non-null among its parents, and its texts if 10 or fewer.
 
-    Lists are one level of depth with a path ending in []. Each path is an aggregate; list items are exploded.
+    Lists are one level of depth with a path ending in []. All fields that structs hold are one aggregate, those of a
+    list's items another one over the exploded items. Texts are only gathered of fields that an approximate count (a pass
+    before) says have few.
     """
     out: DataFrame | None = None
 
-    def visit(rows: DataFrame, name: str, t: T.DataType, path: str, depth: int) -> None:
+    def visit(rows: DataFrame, open_: list[tuple[str, Column, T.DataType, Column | None, int]]) -> None:
         nonlocal out
-        c = F.col(name)
-        texts = F.slice(F.sort_array(F.collect_set(c)), 1, 11) if isinstance(t, T.StringType) else F.lit(None).cast("array<string>")
-        texts = F.when(F.approx_count_distinct(c) <= 20, texts) if isinstance(t, T.StringType) else texts
-        one = rows.agg((F.count(c) / F.when(F.count("*") > 0, F.count("*"))).alias("rate"), texts.alias("v"))
-        one = one.select(F.lit(path).alias("path"), F.lit(t.typeName()).alias("type"), "rate", F.when(F.size("v") <= 10, F.col("v")).alias("values"))
+        fields, lists = [], []
+        while open_:
+            path, c, t, parent, depth = open_.pop(0)
+            fields.append((path, c, t, parent))
+            if depth < max_depth and isinstance(t, T.StructType):
+                open_ += [(f"{path}.{f.name}", c.getField(f.name), f.dataType, c.isNotNull(), depth + 1) for f in t.fields]
+            elif depth < max_depth and isinstance(t, T.ArrayType):
+                lists.append((f"{path}[]", c, t.elementType, depth + 1))
+        texts = [k for k, (_, _, t, _) in enumerate(fields) if isinstance(t, T.StringType)]
+        about = rows.agg(*(F.approx_count_distinct(fields[k][1]).alias(f"d{k}") for k in texts)).first() if texts else {}
+        few = {k for k in texts if about[f"d{k}"] <= 20}
+        aggs: list[Column] = []
+        for k, (_, c, _, parent) in enumerate(fields):
+            aggs += [F.count(c).alias(f"n{k}"), (F.count("*") if parent is None else F.count_if(parent)).alias(f"p{k}")]
+            aggs.append((F.slice(F.sort_array(F.collect_set(c)), 1, 11) if k in few else F.lit(None).cast("array<string>")).alias(f"v{k}"))
+        each = F.array(*(F.struct(F.lit(path).alias("path"), F.lit(t.typeName()).alias("type"), (F.col(f"n{k}") / F.when(F.col(f"p{k}") > 0, F.col(f"p{k}"))).alias("rate"), F.when(F.size(f"v{k}") <= 10, F.col(f"v{k}")).alias("values")) for k, (path, _, t, _) in enumerate(fields)))
+        one = rows.agg(*aggs).select(F.explode(each).alias("r")).select("r.*")
         out = one if out is None else out.union(one)
-        if depth >= max_depth:
-            return
-        if isinstance(t, T.StructType):
-            some = rows.where(c.isNotNull())
-            for f in t.fields:
-                visit(some.select(c.getField(f.name).alias("c")), "c", f.dataType, f"{path}.{f.name}", depth + 1)
-        elif isinstance(t, T.ArrayType):
-            visit(rows.select(F.explode(c).alias("c")), "c", t.elementType, f"{path}[]", depth + 1)
-
-    for f in df.schema.fields:
-        visit(df.select(F.col(f"`{f.name}`").alias("c")), "c", f.dataType, f.name, 1)
+        for path, c, t, depth in lists:
+            visit(rows.select(F.explode(c).alias("c")), [(path, F.col("c"), t, None, depth)])
+
+    visit(df, [(f.name, F.col(f"`{f.name}`"), f.dataType, None, 1) for f in df.schema.fields])
     return out
 
 
