@@ -138,6 +138,11 @@ class Dataset:
         return out
 
     def head(self, n: int = 10) -> Dataset:
+        if self._sorted:  # a top-k by the sort's keys: nothing needs to be ranked
+            by, desc = self._sorted
+            out = self._with(order.sort_rows(self._df, by, self.order, desc).limit(n), "head", n=n)
+            out._sorted = self._sorted
+            return out
         return self._with(order.head(self._rows, n, self.order), "head", n=n)
 
     def tail(self, n: int = 10) -> Dataset:
@@ -214,7 +219,9 @@ class Dataset:
         return self._rows.count()
 
     def collect(self, limit: int | None = None) -> list[dict]:
-        got = order.head(self._rows, limit, self.order).drop(ORDINAL) if limit else self.df
+        untracked = Dataset(self._df, self.order)
+        untracked._sorted = self._sorted
+        got = untracked.head(limit).df if limit else self.df
         return [r.asDict(recursive=True) for r in got.collect()]
 
     def __iter__(self):
