@@ -37,10 +37,11 @@ def test_predicates_reach_the_scan(spark):
     assert "text:" not in p.split("ReadSchema")[1]
 
 
-PYTHON = {"python_map", "flat_map"}
+#: Python functions, and Arrow files, for which Spark has no reader.
+PYTHON = {"python_map", "flat_map", "io_arrow"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - PYTHON - {"stream_filter"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - PYTHON - {"stream_filter", "stream_dedupe"}))
 def test_no_python_in_plans(spark, name):
     """All but the operators that take a Python function are column expressions."""
     p = plan(queries.QUERIES[name](spark, oracle.DATA))
