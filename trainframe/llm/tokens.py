@@ -14,7 +14,7 @@ from . import common
 
 _encoders: dict[str, Encoder] = {}
 #: Bytes of text that are split to words at a time; a longer text is cut at spaces.
-PART = 4 << 20
+PART = 1 << 20
 #: The steps before the model of a tokenizer that never joins what a space or a line feed separates.
 APART = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
