@@ -260,25 +260,33 @@ def repeated_spans(texts: DataFrame, length: int, group: str = "") -> DataFrame:
         """Each window of the edges with the names of its first and last bytes; known repeats have their place negative."""
         for batch in batches:
             held: list[tuple] = []
+            have = 0
             for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 for s in spans:
                     for lo in range(s["first"], s["end"], SEGMENT):
                         hi = min(s["end"], lo + SEGMENT)
-                        h = rank_hashes(raw[lo : hi + length - 1])
-                        k1, k2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-                        for o in offsets:
-                            k1 = _mix(k1 + h[o : o + hi - lo])
-                            k2 = _mix(k2 + h[length - size + o : length - size + o + hi - lo])
-                        held.append((k1.view(np.int64), k2.view(np.int64), np.full(hi - lo, row), np.arange(lo, hi)))
-                        if sum(len(x[0]) for x in held[-64:]) > 200_000 or len(held) > 4000:
+                        held.append((raw[lo : hi + length - 1], row, lo, hi - lo))
+                        have += hi - lo
+                        if have > 200_000:
                             yield from ordered_windows(held)
-                            held = []
+                            held, have = [], 0
             if held:
                 yield from ordered_windows(held)
 
     def ordered_windows(held: list[tuple]):
-        k1, k2, row, first = (np.concatenate(x) for x in zip(*held, strict=True))
+        """The windows of spans (bytes, row, first window, number of windows), sorted by their names."""
+        pieces, rows, los, counts = zip(*held, strict=True)
+        count, size_ = np.array(counts), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        h = rank_hashes(np.concatenate(pieces))
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(size_) - size_, count) + within
+        row, first = np.repeat(np.array(rows), count), np.repeat(np.array(los), count) + within
+        k1, k2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for o in offsets:
+            k1 = _mix(k1 + h[at + o])
+            k2 = _mix(k2 + h[at + length - size + o])
+        k1, k2 = k1.view(np.int64), k2.view(np.int64)
         o = np.lexsort((first, row, k2, k1))
         k1, k2, row, first = k1[o], k2[o], row[o], first[o]
         first = np.where(_again(k1, k2), -1 - first, first)
