@@ -84,3 +84,41 @@ def test_chain_of_versions(spark, n, options):
     assert len(pairs) == n - 1 and kept == list(range(0, n, 2))
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
     assert sorted(r.id for r in dedupe.dedupe_similar(df, "t", "id", **options).select("id").collect()) == kept
+
+
+def test_no_pair_is_lost_by_chance(spark, monkeypatch):
+    """Pairs at the threshold itself, in several blocks: min-hashes miss some of so many."""
+    from trainframe.operators import similar
+
+    r, texts = random.Random(3), {}
+    for k in range(3000):
+        x = "".join(chr(a) for a in r.sample(range(0x4E00, 0x9FA5), 11))
+        texts[2 * k], texts[2 * k + 1] = x, x[:-1]
+        if k % 2:  # 8 of 10 grams
+            texts[2 * k + 1] = x[:-1] + "a"
+    monkeypatch.setattr(similar, "BLOCK", 1500)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = {(x.a, x.b): x.similarity for x in dedupe.similar_pairs(df, "t", "id").collect()}
+    assert got == {(2 * k, 2 * k + 1): jaccard(texts[2 * k], texts[2 * k + 1]) for k in range(3000)}
+
+
+@pytest.mark.parametrize(("threshold", "ngram"), [(0.8, 3), (0.5, 3), (0.95, 2), (0.7, 5)])
+def test_blocks_against_sets(threshold, ngram):
+    """Blocks of sets of many sizes give the pairs of the sets themselves, in one block and between two."""
+    import numpy as np
+
+    from trainframe.operators import similar
+
+    r = random.Random(ngram)
+    words = ["".join(r.choice("abcdeé漢") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 5, 30, 31, 100, 110, 400, 900) for _ in range(6)]
+    texts += [t + t[: len(t) // 6] for t in texts] + [t[: len(t) - 9] + "xyz" for t in texts]
+    sets = {x: np.array(similar.codes(x.encode(), ngram)) for x in dict.fromkeys(texts)}
+    whole = {x: {x[i : i + ngram] for i in range(max(len(x) - ngram + 1, 1))} for x in sets}
+    assert all(len(sets[x]) == len(whole[x]) for x in sets)
+    order = sorted(sets, key=lambda x: len(sets[x]))
+    cut = len(order) // 2
+    a, b = (similar.Block.of(list(range(i, j)), [sets[x] for x in order[i:j]]) for i, j in ((0, cut), (cut, len(order))))
+    got = {(int(p.r[i]), int(q.r[j])): float(v) for p, q in ((a, a), (b, b), (a, b)) for x, y, s in similar.links(p, q, p is q, threshold) for i, j, v in zip(x, y, s, strict=True)}
+    want = {(i, j): len(whole[x] & whole[y]) / len(whole[x] | whole[y]) for i, x in enumerate(order) for j, y in enumerate(order) if i < j}
+    assert got == {k: v for k, v in want.items() if v >= threshold} and got

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.paths import path_value
 from ..sources.shared import written
 from .joins import first_rows
+from .similar import similar
 
 #: Up to so many open pairs of near-duplicates are settled in order on the driver; more are settled in rounds.
 AT_ONCE = 200_000
@@ -35,52 +36,24 @@ def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(_comparable(v.c, v.t).alias("value")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def shingles(c: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of a text as an array; a shorter text is its own only one."""
-    # a substring by its position walks the text from its start each time: slices of the characters do not
-    chars, most = F.split(c, ""), F.greatest(F.length(c) - n + 1, F.lit(1))
-    grams = F.arrays_zip(*(F.slice(chars, k + 1, most).alias(f"c{k}") for k in range(n)))
-    return F.when(F.length(c) <= n, F.array(c)).otherwise(F.array_distinct(F.transform(grams, lambda g: F.concat(*(g[f"c{k}"] for k in range(n))))))
-
-
-def bands(threshold: float, num_perm: int) -> tuple[int, int]:
-    """(bands, rows) that find pairs at the threshold with a probability over 0.99."""
-    best = (num_perm, 1)
-    for r in range(1, num_perm + 1):
-        b = num_perm // r
-        if b and 1 - (1 - threshold**r) ** b > 0.99:
-            best = (b, r)
-    return best
+def _linked(df: DataFrame, key: str, id_col: str, threshold: float, ngram: int) -> tuple[DataFrame, DataFrame]:
+    """(id) of the first rows of distinct texts, and (a, b, similarity), a < b, of those that are similar."""
+    v = path_value(df.schema, key)
+    firsts, found = similar(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(v.c.cast("string"), F.lit("")).alias("text")), threshold, ngram)
+    x, y = (firsts.select(F.col("r").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
+    swap = F.col("ia") > F.col("ib")
+    ends = F.when(swap, F.col("ib")).otherwise(F.col("ia")), F.when(swap, F.col("ia")).otherwise(F.col("ib"))
+    # texts that share an id are no pair of rows
+    return firsts.select("id"), found.join(x, "a").join(y, "b").where("ia <> ib").select(ends[0].alias("a"), ends[1].alias("b"), "similarity")
 
 
 def similar_pairs(df: DataFrame, key: str, id_col: str, threshold: float = 0.8, num_perm: int = 128, ngram: int = 3) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of rows whose texts' n-gram sets have a Jaccard similarity of the threshold or more.
+    """(a, b, similarity), a < b: all pairs of rows whose texts' n-gram sets have a Jaccard similarity of the threshold or more.
 
-    Min-hashes in bands name candidates; each candidate pair is verified on its sets. Equal texts are one text: pairs are
-    between the first rows of distinct texts. No min-hash is a Python function.
+    Equal texts are one text: pairs are between the first rows of distinct texts. No pair depends on min-hashes any more;
+    ``num_perm`` is still taken, for callers that name it, and changes nothing.
     """
-    v = path_value(df.schema, key)
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(v.c.cast("string"), F.lit("")).alias("text"))
-    texts = texts.groupBy("text").agg(F.min("id").alias("id")).select("id", shingles(F.col("text"), ngram).alias("grams"))
-    b, r = bands(threshold, num_perm)
-    hashes = F.transform(F.col("grams"), lambda g: F.xxhash64(g))
-    texts = texts.withColumn("h", hashes)
-
-    # aggregates over exploded hashes are generated code, which functions of arrays are not
-    each = texts.select("id", F.xxhash64("h").alias("row"), F.explode("h").alias("x"))
-    minima = each.groupBy("id", "row").agg(*(F.min(F.xxhash64(F.lit(k), "x")).alias(f"m{k}") for k in range(b * r)))
-
-    def band(k: int) -> Column:
-        return F.struct(F.lit(k).alias("band"), F.xxhash64(*(F.col(f"m{k * r + i}") for i in range(r))).alias("code"))
-
-    marks = minima.select("id", F.explode(F.array(*(band(k) for k in range(b)))).alias("m")).select("id", "m.band", "m.code")
-    right = marks.select(F.col("id").alias("b"), "band", "code")
-    pairs = marks.withColumnRenamed("id", "a").join(right, ["band", "code"]).where("a < b").select("a", "b").distinct()
-    sets = texts.select("id", "h")
-    both = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("h", "ha"), "a").join(sets.withColumnRenamed("id", "b").withColumnRenamed("h", "hb"), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    similarity = common / (F.size("ha") + F.size("hb") - common)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return _linked(df, key, id_col, threshold, ngram)[1]
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -105,10 +78,8 @@ def dedupe_similar(df: DataFrame, key: str, id_col: str, threshold: float = 0.8,
     ``at_once`` pairs are open they are settled together, so that a long chain is not a round for two of its rows.
     """
     threshold = min(threshold, 0.99)
-    open_ = _cut(similar_pairs(df, key, id_col, threshold, num_perm, ngram).select("a", "b"))
-    v = path_value(df.schema, key)
-    text = F.coalesce(v.c.cast("string"), F.lit(""))
-    firsts = df.groupBy(text.alias("t")).agg(F.min(F.col(f"`{id_col}`")).alias("id")).select("id")
+    firsts, pairs = _linked(df, key, id_col, threshold, ngram)
+    open_ = _cut(pairs.select("a", "b"))
     gone = None
     while not open_.isEmpty():
         last = open_.limit(at_once + 1).count() <= at_once

@@ -30,10 +30,24 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def filesystem(path: str):
+    """pyarrow's file system and path for ``path``; for files of the shared folder that executors write and read themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again, so that all that is derived from it sees the same rows."""
     spark = df.sparkSession
-    path = new_path(spark, what)
+    path = path or new_path(spark, what)
     schema = df.schema
     void = [f.name for f in schema.fields if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
     df.drop(*void).write.option("compression", "zstd").parquet(path)
