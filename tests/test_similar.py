@@ -122,3 +122,12 @@ def test_blocks_against_sets(threshold, ngram):
     got = {(int(p.r[i]), int(q.r[j])): float(v) for p, q in ((a, a), (b, b), (a, b)) for x, y, s in similar.links(p, q, p is q, threshold) for i, j, v in zip(x, y, s, strict=True)}
     want = {(i, j): len(whole[x] & whole[y]) / len(whole[x] | whole[y]) for i, x in enumerate(order) for j, y in enumerate(order) if i < j}
     assert got == {k: v for k, v in want.items() if v >= threshold} and got
+
+
+def test_ids_of_other_types(spark):
+    """Ids that are no whole numbers, in the order of their type; copies go by their least."""
+    texts = {k: "abcdefghij klmnopqrst uvwxyz" + "!" * (k % 3) for k in range(7)}
+    pairs, _ = brute_force(texts)
+    df = spark.createDataFrame([((k // 2, f"x{k}"), t) for k, t in texts.items()], "id struct<a: int, b: string>, t string")
+    got = sorted((int(r.a.b[1:]), int(r.b.b[1:])) for r in dedupe.similar_pairs(df, "t", "id").collect())
+    assert got == sorted(pairs) == [(0, 1), (0, 2), (1, 2)]

@@ -39,12 +39,7 @@ def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
 def _linked(df: DataFrame, key: str, id_col: str, threshold: float, ngram: int) -> tuple[DataFrame, DataFrame]:
     """(id) of the first rows of distinct texts, and (a, b, similarity), a < b, of those that are similar."""
     v = path_value(df.schema, key)
-    firsts, found = similar(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(v.c.cast("string"), F.lit("")).alias("text")), threshold, ngram)
-    x, y = (firsts.select(F.col("r").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
-    swap = F.col("ia") > F.col("ib")
-    ends = F.when(swap, F.col("ib")).otherwise(F.col("ia")), F.when(swap, F.col("ia")).otherwise(F.col("ib"))
-    # texts that share an id are no pair of rows
-    return firsts.select("id"), found.join(x, "a").join(y, "b").where("ia <> ib").select(ends[0].alias("a"), ends[1].alias("b"), "similarity")
+    return similar(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(v.c.cast("string"), F.lit("")).alias("text")), threshold, ngram)
 
 
 def similar_pairs(df: DataFrame, key: str, id_col: str, threshold: float = 0.8, num_perm: int = 128, ngram: int = 3) -> DataFrame:

@@ -127,7 +127,10 @@ class Block:
 
 
 def _build(folder: str):
-    """Rows in order of size to block files: (path, n, low, high), the number of sets and their least and greatest size."""
+    """Rows (r, size, named, grams) in order of size to block files: (path, n, low, high), the number of sets and their sizes.
+
+    A row without grams comes before that of its text's first row and has the number that the block is to name it by.
+    """
 
     def flush(r, sets):
         path = f"{folder}/{uuid.uuid4().hex}"
@@ -135,13 +138,18 @@ def _build(folder: str):
         return pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([len(r)], pa.int64()), "low": pa.array([len(sets[0])], pa.int64()), "high": pa.array([len(sets[-1])], pa.int64())})
 
     def run(batches):
-        r, sets, held = [], [], 0
+        r, sets, held, name = [], [], 0, (None, None)
         for batch in batches:
-            for row, size, grams in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row, size, named, grams in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if grams is None:
+                    name = row, named
+                    continue
+                if row != name[0]:  # a copy of another row's text
+                    continue
                 if r and (len(r) == MOST or held + size > MEMBERS):
                     yield flush(r, sets)
                     r, sets, held = [], [], 0
-                r.append(row)
+                r.append(name[1])
                 sets.append(unpack(grams, size, np.uint64))
                 held += size
         if r:
@@ -239,9 +247,10 @@ def _work(blocks: list, threshold: float) -> list[tuple[str, list[str]]]:
 
 
 def similar(rows: DataFrame, threshold: float, ngram: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (id, text): (r, id) of each distinct text, with its least id, and (a, b, similarity) of similar ones by r."""
+    """Of ``rows`` (id, text): (id) of each distinct text, its least, and (a, b, similarity), a < b, of similar ones."""
     spark = rows.sparkSession
     threshold = max(threshold, 1e-9)
+    whole = isinstance(rows.schema["id"].dataType, T.IntegralType)
     folder = new_path(spark, "similar-blocks")
     sets = written(_sets(rows, ngram), "similar", f"{folder}/sets")
     # an id of null is the least of no text
@@ -249,8 +258,10 @@ def similar(rows: DataFrame, threshold: float, ngram: int) -> tuple[DataFrame, D
     firsts = written(firsts.where("r is not null").select("r", "id", "size"), "similar")
     n, members = firsts.agg(F.count("*"), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK), -(-members // MEMBERS))
-    dealt = sets.join(firsts.select("r"), "r", "left_semi").select("r", "size", "grams")
-    dealt = dealt.repartitionByRange(parts, "size", "r").sortWithinPartitions("size", "r")
+    # first rows meet their sets where both are sorted, so sets are sent once
+    names = firsts.select("r", "size", (F.col("id").cast("long") if whole else F.col("r")).alias("named"), F.lit(None).cast("binary").alias("grams"))
+    dealt = names.union(sets.select("r", "size", F.lit(None).cast("long"), "grams"))
+    dealt = dealt.repartitionByRange(parts, "size", "r").sortWithinPartitions("size", "r", F.col("grams").isNotNull())
     blocks = written(dealt.mapInArrow(_build(f"{folder}/blocks"), "path string, n long, low long, high long"), "similar", f"{folder}/list").collect()
     delete(spark, f"{folder}/sets")
     work = _work(blocks, threshold)
@@ -259,4 +270,13 @@ def similar(rows: DataFrame, threshold: float, ngram: int) -> tuple[DataFrame, D
     todo = todo.repartition(max(1, min(len(work), tasks)))
     pairs = written(todo.mapInArrow(_compare(threshold), "a long, b long, similarity double"), "similar")
     delete(spark, folder)
-    return firsts.select("r", "id"), pairs
+    if whole:
+        kind = rows.schema["id"].dataType
+        pairs = pairs.select(*(F.col(c).cast(kind).alias(c) for c in "ab"), "similarity")
+    else:
+        x, y = (firsts.select(F.col("r").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
+        pairs = pairs.join(x, "a").join(y, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "similarity")
+    swap = F.col("a") > F.col("b")
+    ends = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    # texts that share an id are no pair of rows
+    return firsts.select("id"), pairs.where("a <> b").select(ends[0].alias("a"), ends[1].alias("b"), "similarity")
